@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandix.llm import line_dedup, quality
+from strandix.llm import decontaminate, line_dedup, quality
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op10_line_dedup": line_dedup.SQL}
+ORACLES = {"op4_decontamination": decontaminate.SQL, "op10_line_dedup": line_dedup.SQL}
