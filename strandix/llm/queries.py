@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from strandix.llm import decontaminate, line_dedup, quality
+from strandix.llm import decontaminate, line_dedup, ngram_join, quality
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op4_decontamination": decontaminate.SQL, "op10_line_dedup": line_dedup.SQL}
+ORACLES = {
+    "op4_decontamination": decontaminate.SQL,
+    "op8_ngram_join": ngram_join.SQL,
+    "op10_line_dedup": line_dedup.SQL,
+}
