@@ -6,14 +6,15 @@ A document's set is its distinct 3-word shingles, as 64-bit hashes. Two document
 1. Order. Shingles that many documents share are counted and ranked behind all others. The order decides only
    how much work there is: any one order for all documents gives the same links.
 2. Tiles. A linked pair shares one of the first n - ceil(0.9 n) + 1 shingles of either set in that order. The sets
-   that share such a shingle form its tile, sorted by size.
-3. Chains. In each tile, neighbours by size are compared exactly, and components formed: in a group of near copies
-   this finds nearly all of the group with a few comparisons a set, not with all its pairs.
-4. Bands. Tiles that still hold more than one component are cut by size into bands a factor of 1/0.9 wide; each
-   set meets its own band and the next. There the hashed bitmap of A bounds the overlap from above:
-   |A and B| <= |A| - bits of A not in B. Pairs of different components that pass are compared exactly.
-
-No link is lost: a pair of step 4 that is left out is already in one component, or cannot link. The result is one
+   that share such a shingle form its tile, sorted by size. A small tile gives its pairs of fitting size, a large
+   one each set's neighbour by size: in a group of near copies this finds nearly all of the group with a few
+   comparisons a set, not with all its pairs. Hashed bitmaps bound the overlap from above,
+   |A and B| <= |A| - bits of A not in B, and the pairs that pass are compared exactly. Linked sets form components.
+3. Bands. Large tiles that still hold more than one component are cut by size into bands a factor of 1/0.9 wide;
+   each set meets its own band and the next. Pairs of different components that pass the bitmap bound inside their
+   tile are compared exactly.
+
+No link is lost: a pair of step 3 that is left out is already in one component, or cannot link. The result is one
 row per document with its component. Defined results: null or wordless text has the empty set and links with
 nothing; fewer words than three form one shingle; repeated rows and equal sets share a component; null doc_id
 counts as no document's representative and keeps a null component unless its set has another; an empty table gives
@@ -22,6 +23,7 @@ an empty result; other columns are ignored or carried along.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,15 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandix.llm.common import materialize, table
+from strandix.llm.common import bounded_broadcast, materialize, table
 from strandix.llm.components import components
 
 PERCENT = 90
 #: Shingles in one count of frequent shingles, and how often one must occur there to be named frequent.
-CHUNK, FREQUENT = 2_000_000, 16
+CHUNK, FREQUENT = 2_000_000, 4
 #: Frequent shingles that are ranked by their counts; the others keep the common order. This changes no result.
 RANKED = 1 << 17
 CACHE = 400_000
+#: Sets of a tile that are compared pair by pair without bands; rows of a broadcast.
+SMALL, BROADCAST_ROWS = 32, 1_000_000
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -76,23 +80,44 @@ def _long(x) -> pa.Array:
     return pa.array(np.asarray(x, np.uint64).view(np.int64))
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Hashed bitmap of a set, bit h mod size for every shingle h; its size is a power of two, twice the set's at least."""
+    bits = 1 << max(6, (2 * len(s) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The same set's bitmap at a smaller power of two."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), 0) if len(bits) > words else bits
+
+
+def overlap_bound(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> int:
+    """No more than this many elements are in both sets: a bit of one that the other lacks is an element that it lacks."""
+    words = min(len(p), len(q))
+    p, q = folded(p, words), folded(q, words)
+    return min(n_p - int(np.bitwise_count(p & ~q).sum()), n_q - int(np.bitwise_count(q & ~p).sum()))
+
+
 def signatures(docs: DataFrame, seed: int) -> DataFrame:
-    """kind 0: (doc_id, n, s1, s2), the set's size and 128-bit hash; kind 1: a frequent shingle s1 and its count n in a chunk."""
+    """kind 0: (doc_id, n, s1, s2, bits), a set's size, 128-bit hash and bitmap; kind 1: a frequent shingle s1 and its count n in a chunk."""
+    names = ["kind", "doc_id", "n", "s1", "s2", "bits"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, held, size = _Words(), [], 0
 
         def frequent() -> pa.RecordBatch:
             tok, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= max(FREQUENT, len(held) // 500)
+            often = count >= max(FREQUENT, len(held) // 1000)
             k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), _long(tok[often]), pa.array(np.zeros(k, np.int64))], ["kind", "doc_id", "n", "s1", "s2"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), _long(tok[often]), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary())], names)
 
         for b in batches:
             sets = [shingle_set(t, cache, seed) for t in b.column(1).to_pylist()]
             ids = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column(0), pa.array([len(s) for s in sets], pa.int64()), _long([i & (2**64 - 1) for i in ids]), _long([i >> 64 for i in ids])], ["kind", "doc_id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column(0), pa.array([len(s) for s in sets], pa.int64()), _long([i & (2**64 - 1) for i in ids]), _long([i >> 64 for i in ids]), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names)
             for s in sets:
                 held.append(s)
                 size += len(s)
@@ -102,7 +127,7 @@ def signatures(docs: DataFrame, seed: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(emit, "kind int, doc_id long, n long, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(emit, "kind int, doc_id long, n long, s1 long, s2 long, bits binary")
 
 
 def _prefix(s: np.ndarray, toks: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
@@ -145,52 +170,90 @@ def _postings(docs: DataFrame, seed: int, percent: int, ranked) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "token long, sid long, n long")
 
 
-def _chains(postings: DataFrame, percent: int) -> DataFrame:
-    """The postings of tiles with two sets or more, each with its neighbour in size order (null if too far in size)."""
+def _tiles(postings: DataFrame, percent: int, small: int = SMALL) -> DataFrame:
+    """Tiles of two sets or more. kind 0: a pair (a, b); kind 1: a posting (token a, sid b, size n) of a large tile.
+
+    A tile of at most `small` sets gives all its pairs whose sizes allow a link, a larger one the neighbours in size
+    order, and its postings for the bands. Never more than `small` postings of a tile are held.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((3, 0), np.int64)  # the last posting seen, and what stood before it
-        for b in batches:
-            rows = np.concatenate([held, np.stack([b.column(i).to_numpy() for i in range(3)])], 1)
+        held, large = np.zeros((3, 0), np.int64), False  # the unfinished tile; of a large one its last posting, given out
+        for b in _and_end(batches):
+            rows = held if b is None else np.concatenate([held, np.stack([b.column(i).to_numpy() for i in range(3)])], 1)
+            if not rows.shape[1]:
+                continue
             same = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])
             rows = rows[:, np.concatenate(([True], ~same))]
-            if rows.shape[1] > 1:
-                yield rows_of(rows, held.shape[1], rows.shape[1] - 1)
-            held = rows[:, -2:]
-        if held.shape[1]:
-            yield rows_of(held, max(0, held.shape[1] - 1), held.shape[1])
-
-    def rows_of(rows: np.ndarray, lo: int, hi: int) -> pa.RecordBatch:
-        """Rows lo-1 .. hi-1 that have not been given out; the last row waits for its successor."""
-        lo = max(0, lo - 1) if hi < rows.shape[1] else lo
-        tok, sid, n = rows
-        link = np.concatenate(([False], tok[1:] == tok[:-1]))
-        shared = link | np.concatenate((link[1:], [False]))
-        near = link & (100 * np.concatenate(([0], n[:-1])) >= percent * n)
-        take = np.flatnonzero(shared[lo:hi]) + lo
-        prev = pa.array(np.concatenate(([0], sid[:-1]))[take], mask=~near[take])
-        return pa.RecordBatch.from_arrays([pa.array(tok[take]), pa.array(sid[take]), pa.array(n[take]), prev], ["token", "sid", "n", "prev"])
+            tok, sid, n = rows
+            start = np.concatenate(([0], np.flatnonzero(np.diff(tok)) + 1))
+            size = np.diff(np.append(start, len(tok)))
+            big = size > small
+            big[0] |= large
+            done = np.ones(len(size), bool)
+            if b is not None:
+                done[-1] = big[-1]
+            size_of, big_of, done_of = np.repeat(size, size), np.repeat(big, size), np.repeat(done, size)
+            x, y = [], []
+            for d in range(1, min(small, len(tok))):
+                ok = (tok[d:] == tok[:-d]) & done_of[d:] & (100 * n[:-d] >= percent * n[d:]) & (~big_of[d:] | (d == 1))
+                at = np.flatnonzero(ok)
+                if d > 1 and not len(at):
+                    break
+                x.append(sid[at])
+                y.append(sid[at + d])
+            if x:
+                p = np.stack([np.concatenate(x), np.concatenate(y)])
+                p = np.unique(np.stack([p.min(0), p.max(0)]), axis=1) if p.shape[1] else p
+                k = p.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(p[0]), pa.array(p[1]), pa.array(np.zeros(k, np.int64))], ["kind", "a", "b", "n"])
+            give = np.flatnonzero(big_of & done_of)
+            give = give[1:] if large and len(give) and give[0] == 0 else give
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(give), np.int32)), pa.array(tok[give]), pa.array(sid[give]), pa.array(n[give])], ["kind", "a", "b", "n"])
+            large = bool(big[-1])
+            held = rows[:, -1:] if large else rows[:, start[-1] :]
 
     dealt = postings.repartition("token").sortWithinPartitions("token", "n", "sid")
-    return dealt.mapInArrow(emit, "token long, sid long, n long, prev long")
+    return dealt.mapInArrow(emit, "kind int, a long, b long, n long")
+
+
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
+def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave a link possible."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+            keep = np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column(3), b.column(5))):
+                both = overlap_bound(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), n[i], m[i])
+                keep[i] = 100 * both >= percent * (n[i] + m[i] - both)
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(keep)).columns[:2], ["a", "b"])
+
+    full = pairs.join(sets.select(F.col("s1").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), "a").join(sets.select(F.col("s1").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    return full.select("a", "b", "n", "x", "m", "y").mapInArrow(emit, "a long, b long")
 
 
 def _arrays(docs: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
-    """(sid, n, toks) of the documents named in ids (doc_id)."""
+    """(sid, toks) of the documents named in ids (doc_id); repeated rows of a document give repeated rows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
         for b in batches:
             sets = [shingle_set(t, cache, seed) for t in b.column(0).to_pylist()]
             ids = [xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1) for s in sets]
-            yield pa.RecordBatch.from_arrays([_long(ids), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "n", "toks"])
+            yield pa.RecordBatch.from_arrays([_long(ids), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "toks"])
 
-    near = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(ids, "doc_id", "left_semi")
-    return near.select("text").mapInArrow(emit, "sid long, n long, toks binary")
+    near = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(bounded_broadcast(ids, BROADCAST_ROWS), "doc_id", "left_semi")
+    return near.select("text").mapInArrow(emit, "sid long, toks binary")
 
 
-def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection of sorted arrays."""
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, seed: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by exact intersection of sorted arrays. `pairs` is a written table."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,41 +269,18 @@ def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
             got = b.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays(got.columns[:2], ["a", "b"])
 
+    used = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
+    arrays = materialize(_arrays(docs, used.join(sets, "s1").select(F.col("rep").alias("doc_id")), seed), "arrays")
     full = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("toks").alias("x")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("toks").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(emit, "a long, b long")
 
 
-def bitmap(s: np.ndarray, bits: int) -> np.ndarray:
-    """Hashed bitmap of a set: bit h mod bits for every shingle h; bits is a power of two from 64 on."""
-    out = np.zeros(bits, np.uint8)
-    out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(out, bitorder="little").view(np.uint64)
-
-
-def band_of(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Sizes of linked sets lie in one band or in neighbouring bands; the small slack covers rounding of the logarithm."""
-    return np.floor(np.log(n) / (np.log(100 / percent) + 1e-9)).astype(np.int64)
-
-
-def _band_bits(band: int, percent: int) -> int:
-    """Four times the largest size of the band, as a power of two."""
-    return 1 << max(6, int(np.ceil(np.log2(4 * (100 / percent) ** (band + 1)))))
-
-
 def _band_pairs(rows: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Pairs of different components in a (token, band) tile whose bitmaps leave a link possible. rows: token, sid, n, comp, toks."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.column(2).to_numpy()
-            band = band_of(n, percent)
-            toks = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(4)]
-            for probe in (0, 1):  # a set lives in its own band and looks into the one above
-                bits = pa.array([bitmap(s, _band_bits(int(k) + probe, percent)).tobytes() for s, k in zip(toks, band)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(band + probe), b.column(1), b.column(2), b.column(3), pa.array(np.full(len(n), probe, np.int32)), bits], ["token", "band", "sid", "n", "comp", "probe", "bits"])
+    """Pairs of different components in a (token, band) tile whose bitmaps leave a link possible. rows: token, sid, n, comp, bits."""
 
     def pairs(sid, n, comp, probe, bits) -> Iterator[pa.RecordBatch]:
-        maps = np.frombuffer(b"".join(bits), np.uint64).reshape(len(sid), -1)
+        words = min(map(len, bits)) // 8
+        maps = np.stack([folded(np.frombuffer(x, np.uint64), words) for x in bits])
         rest = np.flatnonzero(probe == 0)
         names, counts = np.unique(comp, return_counts=True)
         outside = comp != names[counts.argmax()]  # every pair of two components has a side outside the largest
@@ -250,14 +290,14 @@ def _band_pairs(rows: DataFrame, percent: int, block: int = 256) -> DataFrame:
                 j = rest[jl : jl + 4096]
                 ok = (comp[i, None] != comp[None, j]) & (outside[i, None] | outside[None, j])
                 ok &= (probe[i, None] == 1) | (i[:, None] < j[None, :])
-                ok &= (100 * np.minimum(n[i, None], n[None, j]) >= percent * np.maximum(n[i, None], n[None, j]))
+                ok &= 100 * np.minimum(n[i, None], n[None, j]) >= percent * np.maximum(n[i, None], n[None, j])
                 x, y = np.nonzero(ok)
                 if not len(x):
                     continue
                 x, y = i[x], j[y]
                 miss_x = np.zeros(len(x), np.int64)
                 miss_y = np.zeros(len(x), np.int64)
-                for w in range(maps.shape[1]):
+                for w in range(words):
                     p, q = maps[x, w], maps[y, w]
                     miss_x += np.bitwise_count(p & ~q)
                     miss_y += np.bitwise_count(q & ~p)
@@ -287,8 +327,10 @@ def _band_pairs(rows: DataFrame, percent: int, block: int = 256) -> DataFrame:
         if held:
             yield from close()
 
-    dealt = rows.select("token", "sid", "n", "comp", "toks").mapInArrow(spread, "token long, band long, sid long, n long, comp long, probe int, bits binary")
-    dealt = dealt.repartition("token", "band").sortWithinPartitions("token", "band", "probe", "n")
+    # A set lives in its own band and looks into the one above; the slack covers rounding of the logarithm.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("bigint")
+    spread = rows.select("token", band.alias("own"), "sid", "n", "comp", "bits", F.explode(F.array(F.lit(0), F.lit(1))).alias("probe"))
+    dealt = spread.select("token", (F.col("own") + F.col("probe")).alias("band"), "sid", "n", "comp", "probe", "bits").repartition("token", "band").sortWithinPartitions("token", "band", "probe", "n")
     return dealt.mapInArrow(tiles, "a long, b long").distinct()
 
 
@@ -313,21 +355,21 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = np.argsort(toks)
     ranked = sc.broadcast((toks[order], (len(toks) - np.arange(len(toks)))[order]))
 
-    sets = sig.filter("kind = 0 AND n > 0").groupBy("s1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    chains = materialize(_chains(_postings(docs, seed, percent, ranked), percent), "tiles")
-    needed = chains.select(F.col("sid").alias("s1")).distinct().join(sets, "s1").select(F.col("rep").alias("doc_id"))
-    arrays = materialize(_arrays(docs, needed, seed), "arrays")
-
-    first = chains.filter("prev IS NOT NULL").select(F.least("sid", "prev").alias("a"), F.greatest("sid", "prev").alias("b")).distinct()
-    links = materialize(_verified(first, arrays, percent), "links")
+    sets = materialize(sig.filter("kind = 0 AND n > 0").groupBy("s1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
+    tiles = materialize(_tiles(_postings(docs, seed, percent, ranked), percent), "tiles")
+    near = materialize(_may_link(tiles.filter("kind = 0").select("a", "b").distinct(), sets, percent), "pairs")
+    links = materialize(_verified(near, docs, sets, seed, percent), "links")
     comps = materialize(components(links), "comps")
 
-    named = chains.select("token", "sid", "n").join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    large = tiles.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("sid"), "n")
+    named = large.join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     named = materialize(named, "named")
     mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-    rows = named.join(mixed, "token", "left_semi").join(arrays.select("sid", "toks").dropDuplicates(["sid"]), "sid")
-    more = materialize(_verified(materialize(_band_pairs(rows, percent), "pairs"), arrays, percent), "links")
-    comps = materialize(components(links.unionByName(more)), "comps")
+    rows = named.join(mixed, "token", "left_semi").join(sets.select(F.col("s1").alias("sid"), "bits"), "sid")
+    more = materialize(_band_pairs(rows, percent), "pairs")
+    if not more.isEmpty():
+        links = links.unionByName(materialize(_verified(more, docs, sets, seed, percent), "links"))
+        comps = materialize(components(links), "comps")
 
     # From set names to the least doc_id of the component; a set without links is its own component.
     home = sets.join(comps.select(F.col("node").alias("s1"), "comp"), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
