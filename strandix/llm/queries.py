@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandix.llm import decontaminate, line_dedup, ngram_join, quality
+from strandix.llm import bpe, decontaminate, line_dedup, ngram_join, quality
 
 QUERIES = {
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
