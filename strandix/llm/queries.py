@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandix.llm import bpe, chat, decontaminate, line_dedup, ngram_join, quality, sharding, token_counts
+from strandix.llm import bpe, chat, decontaminate, language_id, line_dedup, ngram_join, quality, sharding, token_counts
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_language_id": language_id.op2_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_chat_format": chat.op5_chat_format,
