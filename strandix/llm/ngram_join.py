@@ -11,8 +11,8 @@ A document's set is its distinct 3-word shingles, as 64-bit hashes. Two document
    comparisons a set, not with all its pairs. Hashed bitmaps bound the overlap from above,
    |A and B| <= |A| - bits of A not in B, and the pairs that pass are compared exactly. Linked sets form components.
 3. Bands. Large tiles that still hold more than one component are cut by size into bands a factor of 1/0.9 wide;
-   each set meets its own band and the next. Pairs of different components that pass the bitmap bound inside their
-   tile are compared exactly.
+   each set meets its own band and the next. First each set outside a tile's largest component is compared with
+   its likeliest partner of another one; then all pairs of different components that pass the bitmap bound are.
 
 No link is lost: a pair of step 3 that is left out is already in one component, or cannot link. The result is one
 row per document with its component. Defined results: null or wordless text has the empty set and links with
@@ -275,8 +275,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, seed: int, per
     return full.select("a", "b", "x", "y").mapInArrow(emit, "a long, b long")
 
 
-def _band_pairs(rows: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """Pairs of different components in a (token, band) tile whose bitmaps leave a link possible. rows: token, sid, n, comp, bits."""
+def _band_pairs(rows: DataFrame, percent: int, best: bool, block: int = 256) -> DataFrame:
+    """Pairs of different components in a (token, band) tile whose bitmaps leave a link possible. rows: token, sid, n, comp, bits.
+
+    best: only the likeliest partner of each set outside the tile's largest component, at most one pair a row.
+    """
 
     def pairs(sid, n, comp, probe, bits) -> Iterator[pa.RecordBatch]:
         words = min(map(len, bits)) // 8
@@ -284,6 +287,7 @@ def _band_pairs(rows: DataFrame, percent: int, block: int = 256) -> DataFrame:
         rest = np.flatnonzero(probe == 0)
         names, counts = np.unique(comp, return_counts=True)
         outside = comp != names[counts.argmax()]  # every pair of two components has a side outside the largest
+        top, partner = np.zeros(len(sid)), np.full(len(sid), -1)
         for lo in range(0, len(sid), block):
             i = np.arange(lo, min(lo + block, len(sid)))
             for jl in range(0, len(rest), 4096):
@@ -303,8 +307,23 @@ def _band_pairs(rows: DataFrame, percent: int, block: int = 256) -> DataFrame:
                     miss_y += np.bitwise_count(q & ~p)
                 both = np.minimum(n[x] - miss_x, n[y] - miss_y)
                 good = 100 * both >= percent * (n[x] + n[y] - both)
-                a, b = np.minimum(sid[x[good]], sid[y[good]]), np.maximum(sid[x[good]], sid[y[good]])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                x, y, share = x[good], y[good], both[good] / (n[x[good]] + n[y[good]] - both[good])
+                if not best:
+                    yield ordered(sid[x], sid[y])
+                    continue
+                for p, q in ((x, y), (y, x)):
+                    order = np.argsort(share, kind="stable")
+                    p, q, r = p[order], q[order], share[order]
+                    at = len(p) - 1 - np.unique(p[::-1], return_index=True)[1]  # the last, and so likeliest, pair of each
+                    p, q, r = p[at], q[at], r[at]
+                    new = outside[p] & (r > top[p])
+                    top[p[new]], partner[p[new]] = r[new], q[new]
+        if best and (partner >= 0).any():
+            i = np.flatnonzero(partner >= 0)
+            yield ordered(sid[i], sid[partner[i]])
+
+    def ordered(a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -362,12 +381,14 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comps = materialize(components(links), "comps")
 
     large = tiles.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("sid"), "n")
-    named = large.join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    named = materialize(named, "named")
-    mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
-    rows = named.join(mixed, "token", "left_semi").join(sets.select(F.col("s1").alias("sid"), "bits"), "sid")
-    more = materialize(_band_pairs(rows, percent), "pairs")
-    if not more.isEmpty():
+    for best in (True, False):  # likeliest partners first: they join what belongs together, and few pairs are left for the rest
+        named = large.join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        named = materialize(named, "named")
+        mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
+        rows = named.join(mixed, "token", "left_semi").join(sets.select(F.col("s1").alias("sid"), "bits"), "sid")
+        more = materialize(_band_pairs(rows, percent, best), "pairs")
+        if more.isEmpty():
+            break
         links = links.unionByName(materialize(_verified(more, docs, sets, seed, percent), "links"))
         comps = materialize(components(links), "comps")
 
