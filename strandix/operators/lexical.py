@@ -22,9 +22,13 @@ def analyzed(docs: DataFrame, text: str = "text", doc: str = "doc_id", folder=fo
     return df.withColumn("len", F.size("tokens"))
 
 
+def _count(toks: str | Column, term: str) -> Column:
+    return F.size(F.filter(toks, lambda t: t == term))
+
+
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     """(doc_id, len, tf): tf has one count for each query term, in order. One pass without a shuffle."""
-    tf = F.array(*[F.size(F.filter("tokens", lambda t, q=q: t == q)) for q in terms])
+    tf = F.array(*[_count("tokens", q) for q in terms])
     return docs.select("doc_id", "len", tf.alias("tf"))
 
 
@@ -73,7 +77,7 @@ def bm25f(docs: DataFrame, query: str, fields: list[Weighted], limit: int, doc:
     if not terms or limit <= 0:
         return docs.select(F.col(doc).alias("doc_id"), F.lit(0).cast("bigint").alias("score_nanos")).limit(0)
     df = docs.select(F.col(doc).alias("doc_id"), *[tokens(folder(F.coalesce(F.col(f.column).cast("string"), F.lit("")))).alias(f"f{j}") for j, f in enumerate(fields)])
-    df = df.select("doc_id", *[F.size(f"f{j}").alias(f"len{j}") for j in range(len(fields))], *[F.size(F.filter(f"f{j}", lambda t, q=q: t == q)).alias(f"tf{i}_{j}") for i, q in enumerate(terms) for j in range(len(fields))])
+    df = df.select("doc_id", *[F.size(f"f{j}").alias(f"len{j}") for j in range(len(fields))], *[_count(f"f{j}", q).alias(f"tf{i}_{j}") for i, q in enumerate(terms) for j in range(len(fields))])
     has = [reduce(lambda a, c: a | c, [F.col(f"tf{i}_{j}") > 0 for j in range(len(fields))]) for i in range(len(terms))]
     stats = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"len{j}").alias(f"avg{j}") for j in range(len(fields))], *[F.sum(h.cast("int")).alias(f"df{i}") for i, h in enumerate(has)])
     df = df.filter(reduce(lambda a, c: a | c, has)).crossJoin(F.broadcast(stats))
