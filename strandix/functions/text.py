@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strandix.errors import EngineError
 
@@ -14,7 +15,7 @@ MAX_TOKEN_BYTES, MAX_PATTERN_BYTES = 256, 1_024
 _TOKEN = r"[\p{IsAlphabetic}\p{N}]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _folded(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 

@@ -151,12 +151,13 @@ def _events(spark, d):
     return e.withColumn("k", k.value).withColumn("k__present", k.present)
 
 
-_K = sq.Field(F.col("k"), F.col("k__present"))
+def _k() -> sq.Field:
+    return sq.Field(F.col("k"), F.col("k__present"))
 
 
 @query("sq_filter_tree", "SELECT event_id, event_type FROM events WHERE (event_type = 'click' OR user_id < 20) AND NOT (coalesce((props->>'$.k')::BIGINT >= 50, false))")
 def _(spark, d):
-    f = sq.All((sq.Any((sq.Compare(sq.field_of("event_type"), "=", "click"), sq.Compare(sq.field_of("user_id"), "<", 20))), sq.Not(sq.Compare(_K, ">=", 50))))
+    f = sq.All((sq.Any((sq.Compare(sq.field_of("event_type"), "=", "click"), sq.Compare(sq.field_of("user_id"), "<", 20))), sq.Not(sq.Compare(_k(), ">=", 50))))
     return sq.matched(_events(spark, d), sq.Query(f)).select("event_id", "event_type")
 
 
@@ -189,7 +190,7 @@ def _(spark, d):
 
 @query("sq_global_agg", "SELECT count(*) AS n, sum((props->>'$.k')::BIGINT)::BIGINT AS total, min((props->>'$.k')::BIGINT) AS low, max((props->>'$.k')::BIGINT) AS high FROM events WHERE event_type <> 'view'")
 def _(spark, d):
-    q = sq.Query(sq.Compare(sq.field_of("event_type"), "!=", "view"), metrics=[sq.Metric("n", "count"), sq.Metric("total", "sum", _K), sq.Metric("low", "min", _K), sq.Metric("high", "max", _K)])
+    q = sq.Query(sq.Compare(sq.field_of("event_type"), "!=", "view"), metrics=[sq.Metric("n", "count"), sq.Metric("total", "sum", _k()), sq.Metric("low", "min", _k()), sq.Metric("high", "max", _k())])
     return sq.aggregate(_events(spark, d), q).withColumn("total", F.col("total").cast("bigint"))
 
 

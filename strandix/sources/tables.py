@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandix.errors import EngineError
@@ -36,9 +37,10 @@ def write_json(df: DataFrame, path: str) -> None:
 def stream_lines(df: DataFrame) -> Iterator[str]:
     """Rows as JSON lines, one partition at a time, then a completion record: without it a reader has only a part."""
     n = 0
-    for text in df.toJSON().toLocalIterator():
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    for r in df.select(whole.alias("row")).toLocalIterator():
         n += 1
-        yield '{"row":' + text + "}"
+        yield '{"row":' + r["row"] + "}"
     yield json.dumps({"complete": True, "rows": n})
 
 
