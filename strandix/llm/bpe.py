@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding by recursive DuckDB queries, one database per partition.
+"""Byte-level BPE encoding and decoding by recursive DuckDB queries, one database per worker and its partitions.
 
 Texts are cut into pre-tokens by the tokenizer's pattern. The distinct pre-tokens of a batch that are not known yet
 become token-position rows (word, position, token), one row per byte. A recursive query joins neighbouring rows to
@@ -31,7 +31,7 @@ from strandix.llm.common import table
 
 LONG = 400
 #: Entries of a cache generation, words of one recursive query, characters of texts handled at once.
-GENERATION, WORDS, CHARS = 150_000, 20_000, 1_500_000
+GENERATION, WORDS, CHARS = 300_000, 20_000, 3_000_000
 
 ENCODE = """
 WITH RECURSIVE s AS (
@@ -95,22 +95,30 @@ def contract_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Cache:
+class Generations:
     """Two generations of a dict: what was not used during a whole generation is forgotten."""
 
-    def __init__(self, size: int = GENERATION):
+    def __init__(self, size: int):
         self.new, self.old, self.size = {}, {}, size
 
-    def get(self, key):
-        got = self.new.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
-        return got
-
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.size:
+    def split(self, keys) -> tuple[dict, list]:
+        """(what is known of the keys, the others)."""
+        got, rest, new, old = {}, [], self.new, self.old
+        for k in keys:
+            v = new.get(k)
+            if v is None:
+                v = old.get(k)
+                if v is None:
+                    rest.append(k)
+                    continue
+                new[k] = v
+            got[k] = v
+        return got, rest
+
+    def add(self, more: dict) -> None:
+        if len(self.new) + len(more) > self.size:
             self.old, self.new = self.new, {}
-        self.new[key] = value
+        self.new.update(more)
 
 
 class Codec:
@@ -128,7 +136,7 @@ class Codec:
         self.con.register("vocabulary_in", pa.table({"t": pa.array(self.ranks.values(), pa.int32()), "hex": pa.array([b.hex() for b in self.ranks], pa.string())}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
         self.single = np.array([self.ranks[bytes([c])] for c in range(256)], np.int32)
-        self.words, self.pieces = _Cache(), _Cache()
+        self.words, self.pieces = Generations(GENERATION), Generations(GENERATION)
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         """Token-position rows of the words: one row per byte."""
@@ -151,18 +159,13 @@ class Codec:
 
     def learn(self, words: set[str]) -> dict[str, tuple[str, int, bytes]]:
         """The pieces of the given pre-tokens, known ones from the cache."""
-        got, new = {}, []
-        for x in words:
-            if (known := self.words.get(x)) is None:
-                new.append(x)
-            else:
-                got[x] = known
+        got, new = self.words.split(words)
+        fresh = {}
         for lo in range(0, len(new), WORDS):
             part = new[lo : lo + WORDS]
-            for x, piece in zip(part, self.pieces_of([x.encode("utf-8", "surrogatepass") for x in part])):
-                got[x] = piece
-                self.words.put(x, piece)
-        return got
+            fresh.update(zip(part, self.pieces_of([x.encode("utf-8", "surrogatepass") for x in part])))
+        self.words.add(fresh)
+        return got | fresh
 
     def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
         """For each text the pieces that make it up, in order.
@@ -170,35 +173,52 @@ class Codec:
         A space that a non-space follows always begins a pre-token, so texts are cut there first, and what stands
         between is looked up whole.
         """
-        cut = [self._cut(t) for t in texts]
-        got, new = {}, {}
-        for c in cut:
-            for x in c:
-                if x not in got and x not in new:
-                    if (known := self.pieces.get(x)) is None:
-                        new[x] = self.find(x)
-                    else:
-                        got[x] = known
-        words = self.learn({y for f in new.values() for y in f})
-        for x, f in new.items():
+        cut = [cut_at_spaces(t) for t in texts]
+        got, new = self.pieces.split(set().union(*cut))
+        found = {x: self.find(x) for x in new}
+        words = self.learn({y for f in found.values() for y in f})
+        fresh = {}
+        for x, f in found.items():
             parts = [words[y] for y in f]
-            got[x] = parts[0] if len(parts) == 1 else (" ".join(p[0] for p in parts), sum(p[1] for p in parts), b"".join(p[2] for p in parts))
-            self.pieces.put(x, got[x])
+            fresh[x] = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts]))
+        self.pieces.add(fresh)
+        got.update(fresh)
         return [[got[x] for x in c] for c in cut]
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        if not text:
-            return []
-        if _INNER.search(text):
-            return [x for x in _BEFORE.split(text) if x]
-        first, *rest = text.split(" ")
-        rest = [" " + x for x in rest]
-        return [first, *rest] if first else rest
+
+def cut_at_spaces(text: str) -> list[str]:
+    """The text in pieces, cut before every space that a non-space follows."""
+    if not text:
+        return []
+    if _INNER.search(text):
+        return [x for x in _BEFORE.split(text) if x]
+    first, *rest = text.split(" ")
+    rest = [" " + x for x in rest]
+    return [first, *rest] if first else rest
 
 
 _BEFORE = re.compile(r"(?= \S)")
 _INNER = re.compile(r" (?!\S)")
+#: The codecs of this worker process: a partition that comes later finds the database and what the earlier ones learned.
+_CODECS: dict[tuple[str, str], Codec] = {}
+
+
+def codec(path: str, pattern: str) -> Codec:
+    if (path, pattern) not in _CODECS:
+        _CODECS[path, pattern] = Codec(path, pattern)
+    return _CODECS[path, pattern]
+
+
+def batches_of(texts: list[str], chars: int = CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges (lo, hi) of texts of about `chars` characters; a longer text is a range of its own."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= chars):
+            size += len(texts[hi])
+            hi += 1
+        yield lo, hi
+        lo = hi
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, carry: list[str], ids_out: bool = False) -> DataFrame:
@@ -206,21 +226,15 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, carry: list[str],
     plain = [docs.schema[c] for c in carry]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, pattern)
+        own = codec(path, pattern)
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             out = []
-            lo = 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHARS):
-                    size += len(texts[hi])
-                    hi += 1
-                for pieces in codec.encode(texts[lo:hi]):
+            for lo, hi in batches_of(texts):
+                for pieces in own.encode(texts[lo:hi]):
                     ids = " ".join([p[0] for p in pieces])
                     row = [sum([p[1] for p in pieces]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([p[2] for p in pieces])).hexdigest()]
                     out.append(row + [list(map(int, ids.split()))] * ids_out)
-                lo = hi
             kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids_out
             names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids_out
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], [*b.schema.names[1:], *names])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandix.llm.bpe import CHARS, Codec, _Cache, read_ranks
+from strandix.llm.bpe import GENERATION, Generations, batches_of, cut_at_spaces, read_ranks
 from strandix.llm.common import table
 
 
@@ -74,44 +74,35 @@ class TextCounter:
 
         self.counter = Counter(unigram_scores(read_ranks(path)))
         self.find = regex.compile(pattern).findall
-        self.words, self.pieces = _Cache(), _Cache()
+        self.words, self.pieces = Generations(GENERATION), Generations(GENERATION)
 
     def count(self, texts: list[str]) -> list[tuple[int, int]]:
-        cut = [Codec._cut(t) for t in texts]
-        got, new = {}, {}
-        for c in cut:
-            for x in c:
-                if x not in got and x not in new:
-                    if (known := self.pieces.get(x)) is None:
-                        new[x] = self.find(x)
-                    else:
-                        got[x] = known
-        known = {y: self.words.get(y) for y in {y for f in new.values() for y in f}}
-        fresh = sorted(y for y, n in known.items() if n is None)
-        for y, n in zip(fresh, self.counter.counts([y.encode("utf-8", "surrogatepass") for y in fresh])):
-            known[y] = n
-            self.words.put(y, n)
-        for x, f in new.items():
-            got[x] = (len(f), sum([known[y] for y in f]))
-            self.pieces.put(x, got[x])
+        cut = [cut_at_spaces(t) for t in texts]
+        got, new = self.pieces.split(set().union(*cut))
+        found = {x: self.find(x) for x in new}
+        known, fresh = self.words.split({y for f in found.values() for y in f})
+        fresh.sort()
+        learned = dict(zip(fresh, self.counter.counts([y.encode("utf-8", "surrogatepass") for y in fresh])))
+        self.words.add(learned)
+        known.update(learned)
+        pieces = {x: (len(f), sum([known[y] for y in f])) for x, f in found.items()}
+        self.pieces.add(pieces)
+        got.update(pieces)
         return [(sum([got[x][0] for x in c]), sum([got[x][1] for x in c])) for c in cut]
 
 
+#: The counters of this worker process, with what earlier partitions counted.
+_COUNTERS: dict[tuple[str, str], TextCounter] = {}
+
+
 def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for every row of docs."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = TextCounter(path, pattern)
+        counter = _COUNTERS.get((path, pattern)) or _COUNTERS.setdefault((path, pattern), TextCounter(path, pattern))
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            out: list[tuple[int, int]] = []
-            while len(out) < len(texts):
-                lo = hi = len(out)
-                size = 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= CHARS):
-                    size += len(texts[hi])
-                    hi += 1
-                out += counter.count(texts[lo:hi])
+            out = [row for lo, hi in batches_of(texts) for row in counter.count(texts[lo:hi])]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in (0, 1))], ["doc_id", "n_pretokens", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(emit, "doc_id long, n_pretokens long, n_tokens long")
