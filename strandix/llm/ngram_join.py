@@ -37,9 +37,9 @@ from strandix.llm.components import components
 
 PERCENT = 90
 #: Shingles in one count of frequent shingles, and how often one must occur there to be named frequent.
-CHUNK, FREQUENT = 2_000_000, 4
+CHUNK, FREQUENT = 2_000_000, 3
 #: Frequent shingles that are ranked by their counts; the others keep the common order. This changes no result.
-RANKED = 1 << 17
+RANKED = 1 << 20
 CACHE = 400_000
 #: Sets of a tile that are compared pair by pair without bands; rows of a broadcast.
 SMALL, BROADCAST_ROWS = 32, 1_000_000
@@ -369,10 +369,10 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sc = docs.sparkSession.sparkContext
     sig, seed = _signed_sets(docs)
-    often = sig.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s1").limit(RANKED).collect()
-    toks = np.array([r["s1"] for r in often], np.int64).view(np.uint64)
+    often = sig.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s1").limit(RANKED).select("s1").toArrow()
+    toks = often.column("s1").to_numpy().view(np.uint64)
     order = np.argsort(toks)
-    ranked = sc.broadcast((toks[order], (len(toks) - np.arange(len(toks)))[order]))
+    ranked = sc.broadcast((toks[order], (len(toks) - np.arange(len(toks), dtype=np.int32))[order]))
 
     sets = materialize(sig.filter("kind = 0 AND n > 0").groupBy("s1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
     tiles = materialize(_tiles(_postings(docs, seed, percent, ranked), percent), "tiles")
@@ -381,14 +381,15 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     comps = materialize(components(links), "comps")
 
     large = tiles.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("sid"), "n")
-    for best in (True, False):  # likeliest partners first: they join what belongs together, and few pairs are left for the rest
+    for best in (True, False):  # first the likeliest partners, in tiles where something is joined already: few pairs are left for the rest
         named = large.join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
         named = materialize(named, "named")
-        mixed = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("token")
+        held = named.groupBy("token", "comp").count().groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("count").alias("sets"))
+        mixed = held.filter("comps > 1 AND comps < sets" if best else "comps > 1").select("token")
         rows = named.join(mixed, "token", "left_semi").join(sets.select(F.col("s1").alias("sid"), "bits"), "sid")
         more = materialize(_band_pairs(rows, percent, best), "pairs")
         if more.isEmpty():
-            break
+            continue
         links = links.unionByName(materialize(_verified(more, docs, sets, seed, percent), "links"))
         comps = materialize(components(links), "comps")
 
