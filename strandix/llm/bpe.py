@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from strandix.llm.common import table
 
 LONG = 400
 #: Entries of a cache generation, words of one recursive query, characters of texts handled at once.
-GENERATION, WORDS, CHARS = 300_000, 20_000, 3_000_000
+GENERATION, WORDS, CHARS = 60_000, 8_000, 1_000_000
 
 ENCODE = """
 WITH RECURSIVE s AS (
@@ -209,15 +210,13 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def batches_of(texts: list[str], chars: int = CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges (lo, hi) of texts of about `chars` characters; a longer text is a range of its own."""
+def slices(column: pa.Array, chars: int = CHARS) -> Iterator[list[str]]:
+    """The texts of a string column, null as empty, in lists of about `chars` bytes; only one list is in memory at a time."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     lo = 0
-    while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= chars):
-            size += len(texts[hi])
-            hi += 1
-        yield lo, hi
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + chars, "right")))
+        yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
         lo = hi
 
 
@@ -228,10 +227,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, carry: list[str],
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
             out = []
-            for lo, hi in batches_of(texts):
-                for pieces in own.encode(texts[lo:hi]):
+            for texts in slices(b.column(0)):
+                for pieces in own.encode(texts):
                     ids = " ".join([p[0] for p in pieces])
                     row = [sum([p[1] for p in pieces]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([p[2] for p in pieces])).hexdigest()]
                     out.append(row + [list(map(int, ids.split()))] * ids_out)

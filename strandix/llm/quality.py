@@ -15,7 +15,6 @@ repeated rows each get a row; an empty table gives an empty result; other column
 
 from __future__ import annotations
 
-import math
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window

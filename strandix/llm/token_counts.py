@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandix.llm.bpe import GENERATION, Generations, batches_of, cut_at_spaces, read_ranks
+from strandix.llm.bpe import GENERATION, Generations, cut_at_spaces, read_ranks, slices
 from strandix.llm.common import table
 
 
@@ -101,8 +101,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _COUNTERS.get((path, pattern)) or _COUNTERS.setdefault((path, pattern), TextCounter(path, pattern))
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            out = [row for lo, hi in batches_of(texts) for row in counter.count(texts[lo:hi])]
+            out = [row for texts in slices(b.column(1)) for row in counter.count(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in (0, 1))], ["doc_id", "n_pretokens", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(emit, "doc_id long, n_pretokens long, n_tokens long")
