@@ -36,7 +36,8 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
 ENDS_P = BLOCKS - {"html", "body", "li", "td", "th", "tr", "dt", "dd", "label", "button", "option", "caption", "legend", "thead", "tbody", "tfoot"}
 #: Words of class, id and role that carry meaning for pages in general.
 NAMES = tuple("header masthead top topbar topnav bar nav navbar navigation menu breadcrumb breadcrumbs links pagination toc notice cookie cookies consent alert gdpr paywall message popup modal banner ad ads advert adverts advertisement sponsor sponsored promo slot sidebar side widget related recommended trending read comment comments responses reply discussion disqus reader footer copyright bottom legal colophon contentinfo search login newsletter subscribe signup contact form share social tags byline tools content post article entry story main text body complementary".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags. Possessive repeats keep the work in proportion to the page, however broken it is.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"'<]++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)>", re.S)
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _TAGS = {t: i for i, t in enumerate(sorted(BLOCKS))}
@@ -56,6 +57,7 @@ class Dom:
         tags, stack, text, chars, linked = ["html"], [0], [], [0], [0]
         in_link, at, size = 0, 0, len(source)
         lower = None
+        last_tag = source.rfind(">") + 1  # no tag ends behind it
 
         def flush() -> None:
             if text:
@@ -72,12 +74,14 @@ class Dom:
                     linked[stack[-1]] += len(raw)
 
         while at < size:
-            m = _TOKEN.search(source, at)
+            m = _TOKEN.search(source, at, last_tag)
             if m is None:
                 add(source[at:])
                 break
             add(source[at : m.start()])
             at = m.end()
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             name = m[2]
             if name is None:
                 continue
