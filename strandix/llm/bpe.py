@@ -32,7 +32,7 @@ from strandix.llm.common import table
 
 LONG = 400
 #: Entries of a cache generation, words of one recursive query, characters of texts handled at once.
-GENERATION, WORDS, CHARS = 60_000, 8_000, 1_000_000
+GENERATION, WORDS, CHARS = 150_000, 20_000, 2_000_000
 
 ENCODE = """
 WITH RECURSIVE s AS (
