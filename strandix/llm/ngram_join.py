@@ -1,22 +1,23 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, exact sorted-array intersection.
 
-A document's set is its distinct 3-word shingles, as 64-bit hashes. Two documents link when
-100 * |A and B| >= `percent` * |A or B|. Documents with equal sets collapse to one set first.
+A document's set is its distinct shingles of `words` words, as 64-bit hashes. Two documents link when
+100 * |A and B| >= `percent` * |A or B|. Documents with equal sets collapse to one set first. The query takes 3 words
+and 90 percent by its contract, the pipeline's stage 5 words and 80 percent; t below is percent / 100.
 
 1. Order. Shingles that many documents share are counted and ranked behind all others. The order decides only
    how much work there is: any one order for all documents gives the same links.
-2. Tiles. A linked pair shares one of the first n - ceil(0.9 n) + 1 shingles of either set in that order. The sets
+2. Tiles. A linked pair shares one of the first n - ceil(t n) + 1 shingles of either set in that order. The sets
    that share such a shingle form its tile, sorted by size. A small tile gives its pairs of fitting size, a large
    one each set's neighbour by size: in a group of near copies this finds nearly all of the group with a few
    comparisons a set, not with all its pairs. Hashed bitmaps bound the overlap from above,
    |A and B| <= |A| - bits of A not in B, and the pairs that pass are compared exactly. Linked sets form components.
-3. Bands. Large tiles that still hold more than one component are cut by size into bands a factor of 1/0.9 wide;
+3. Bands. Large tiles that still hold more than one component are cut by size into bands a factor of 1/t wide;
    each set meets its own band and the next. First each set outside a tile's largest component is compared with
    its likeliest partner of another one; then all pairs of different components that pass the bitmap bound are.
 
 No link is lost: a pair of step 3 that is left out is already in one component, or cannot link. The result is one
 row per document with its component. Defined results: null or wordless text has the empty set and links with
-nothing; fewer words than three form one shingle; repeated rows and equal sets share a component; null doc_id
+nothing; fewer words than a shingle's form one shingle; repeated rows and equal sets share a component; null doc_id
 counts as no document's representative and keeps a null component unless its set has another; an empty table gives
 an empty result; other columns are ignored or carried along.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from strandix.llm.common import bounded_broadcast, materialize, table
 from strandix.llm.components import components
 
-PERCENT = 90
+WORDS, PERCENT = 3, 90
 #: Shingles in one count of frequent shingles, and how often one must occur there to be named frequent.
 CHUNK, FREQUENT = 2_000_000, 3
 #: Frequent shingles that are ranked by their counts; the others keep the common order. This changes no result.
@@ -56,18 +57,18 @@ class _Words(dict):
         return h
 
 
-def shingle_set(text: str | None, cache: dict, seed: int = 0) -> np.ndarray:
+def shingle_set(text: str | None, cache: dict, seed: int = 0, words: int = WORDS) -> np.ndarray:
     """The sorted distinct shingle hashes of a text. bytes.lower and bytes.split act on ASCII only, as the word rule does."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(w) < 3:
+    if len(w) < words:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(w), seed + 7)] if w else [], np.uint64)
     h = np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
-    x = h[:-2] * K1 + np.uint64(seed)
-    x ^= x >> np.uint64(32)
-    x = (x + h[1:-1]) * K2
-    x ^= x >> np.uint64(29)
-    x = (x + h[2:]) * K3
+    n = len(w) - words + 1
+    x = h[:n] * K1 + np.uint64(seed)
     x ^= x >> np.uint64(32)
+    for k in range(1, words):
+        x = (x + h[k : k + n]) * (K2 if k % 2 else K3)
+        x ^= x >> np.uint64(29 if k % 2 else 32)
     x.sort()
     return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
@@ -100,7 +101,7 @@ def overlap_bound(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> int:
     return min(n_p - int(np.bitwise_count(p & ~q).sum()), n_q - int(np.bitwise_count(q & ~p).sum()))
 
 
-def signatures(docs: DataFrame, seed: int) -> DataFrame:
+def signatures(docs: DataFrame, seed: int, words: int = WORDS) -> DataFrame:
     """kind 0: (doc_id, n, s1, s2, bits), a set's size, 128-bit hash and bitmap; kind 1: a frequent shingle s1 and its count n in a chunk."""
     names = ["kind", "doc_id", "n", "s1", "s2", "bits"]
 
@@ -114,7 +115,7 @@ def signatures(docs: DataFrame, seed: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), _long(tok[often]), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary())], names)
 
         for b in batches:
-            sets = [shingle_set(t, cache, seed) for t in b.column(1).to_pylist()]
+            sets = [shingle_set(t, cache, seed, words) for t in b.column(1).to_pylist()]
             ids = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             n = len(sets)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column(0), pa.array([len(s) for s in sets], pa.int64()), _long([i & (2**64 - 1) for i in ids]), _long([i >> 64 for i in ids]), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names)
@@ -144,7 +145,7 @@ def _prefix(s: np.ndarray, toks: np.ndarray, rank: np.ndarray, percent: int) ->
     return np.concatenate((cold, s[hot][np.argsort(rank[at[hot]])][: k - len(cold)]))
 
 
-def _postings(docs: DataFrame, seed: int, percent: int, ranked) -> DataFrame:
+def _postings(docs: DataFrame, seed: int, words: int, percent: int, ranked) -> DataFrame:
     """(token, sid, n) for every prefix shingle of every text, equal sets of one task once."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,7 +154,7 @@ def _postings(docs: DataFrame, seed: int, percent: int, ranked) -> DataFrame:
         for b in batches:
             tok, sid, size = [], [], []
             for t in b.column(0).to_pylist():
-                s = shingle_set(t, cache, seed)
+                s = shingle_set(t, cache, seed, words)
                 if not len(s):
                     continue
                 i = xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1)
@@ -238,13 +239,13 @@ def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "n", "x", "m", "y").mapInArrow(emit, "a long, b long")
 
 
-def _arrays(docs: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
+def _arrays(docs: DataFrame, ids: DataFrame, seed: int, words: int) -> DataFrame:
     """(sid, toks) of the documents named in ids (doc_id); repeated rows of a document give repeated rows."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Words()
         for b in batches:
-            sets = [shingle_set(t, cache, seed) for t in b.column(0).to_pylist()]
+            sets = [shingle_set(t, cache, seed, words) for t in b.column(0).to_pylist()]
             ids = [xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1) for s in sets]
             yield pa.RecordBatch.from_arrays([_long(ids), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "toks"])
 
@@ -252,7 +253,7 @@ def _arrays(docs: DataFrame, ids: DataFrame, seed: int) -> DataFrame:
     return near.select("text").mapInArrow(emit, "sid long, toks binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, seed: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, seed: int, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by exact intersection of sorted arrays. `pairs` is a written table."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,7 +271,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, seed: int, per
             yield pa.RecordBatch.from_arrays(got.columns[:2], ["a", "b"])
 
     used = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
-    arrays = materialize(_arrays(docs, used.join(sets, "s1").select(F.col("rep").alias("doc_id")), seed), "arrays")
+    arrays = materialize(_arrays(docs, used.join(sets, "s1").select(F.col("rep").alias("doc_id")), seed, words), "arrays")
     full = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("toks").alias("x")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("toks").alias("y")), "b")
     return full.select("a", "b", "x", "y").mapInArrow(emit, "a long, b long")
 
@@ -353,31 +354,31 @@ def _band_pairs(rows: DataFrame, percent: int, best: bool, block: int = 256) ->
     return dealt.mapInArrow(tiles, "a long, b long").distinct()
 
 
-def _signed_sets(docs: DataFrame) -> tuple[DataFrame, int]:
+def _signed_sets(docs: DataFrame, words: int) -> tuple[DataFrame, int]:
     """The signatures under the first seed whose 64-bit set names are all different for different sets."""
     seed = 0
     while True:
-        sig = materialize(signatures(docs, seed), "signatures")
+        sig = materialize(signatures(docs, seed, words), "signatures")
         clash = sig.filter("kind = 0").groupBy("s1").agg(F.min("s2").alias("lo"), F.max("s2").alias("hi")).filter("lo != hi")
         if clash.isEmpty():
             return sig, seed
         seed += 1
 
 
-def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
     docs = docs.select("doc_id", "text")
     sc = docs.sparkSession.sparkContext
-    sig, seed = _signed_sets(docs)
+    sig, seed = _signed_sets(docs, words)
     often = sig.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s1").limit(RANKED).select("s1").toArrow()
     toks = often.column("s1").to_numpy().view(np.uint64)
     order = np.argsort(toks)
     ranked = sc.broadcast((toks[order], (len(toks) - np.arange(len(toks), dtype=np.int32))[order]))
 
     sets = materialize(sig.filter("kind = 0 AND n > 0").groupBy("s1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
-    tiles = materialize(_tiles(_postings(docs, seed, percent, ranked), percent), "tiles")
+    tiles = materialize(_tiles(_postings(docs, seed, words, percent, ranked), percent), "tiles")
     near = materialize(_may_link(tiles.filter("kind = 0").select("a", "b").distinct(), sets, percent), "pairs")
-    links = materialize(_verified(near, docs, sets, seed, percent), "links")
+    links = materialize(_verified(near, docs, sets, seed, words, percent), "links")
     comps = materialize(components(links), "comps")
 
     large = tiles.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("sid"), "n")
@@ -390,7 +391,7 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         more = materialize(_band_pairs(rows, percent, best), "pairs")
         if more.isEmpty():
             continue
-        links = links.unionByName(materialize(_verified(more, docs, sets, seed, percent), "links"))
+        links = links.unionByName(materialize(_verified(more, docs, sets, seed, words, percent), "links"))
         comps = materialize(components(links), "comps")
 
     # From set names to the least doc_id of the component; a set without links is its own component.
@@ -405,9 +406,9 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that are the least of their component, with all columns; repeated rows of one doc_id stay together."""
-    gone = cluster(docs).filter("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("__id")).distinct()
+    gone = cluster(docs, words, percent).filter("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("__id")).distinct()
     gone = materialize(gone, "near-copies")
     return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left_anti")
 

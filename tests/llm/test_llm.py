@@ -420,6 +420,40 @@ def test_jaccard_join_by_brute_force(spark, docs, monkeypatch):
     assert ngram_join.cluster(df.limit(0)).count() == 0
 
 
+def clusters_by(data, words, percent):
+    def cut(text):
+        w = re.findall(SPACES, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w)} if 0 < len(w) < words else grams(w, words)
+
+    sets = {i: cut(t) for i, t in data}
+    least = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return {i: (len(s), least[i]) for i, s in sets.items()}
+
+
+def test_pipeline_stage_takes_five_words_and_four_fifths(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    body, base = prose(r, 100), prose(r, 300).split()
+    data = [(0, body), (1, body + " " + prose(r, 12)), (2, None), (3, ""), (4, "one two"), (5, "One  two"), (6, "a b c d"), (7, "a b c d e")]
+    for k in range(60):  # a crowd around the threshold
+        w = list(base)
+        for _ in range(r.randint(0, 14)):
+            w[r.randrange(len(w))] = r.choice(VOCAB)
+        data.append((100 + k, " ".join(w)))
+    df = spark.createDataFrame([(i, t, 7) for i, t in data], "doc_id long, text string, n int")
+    three, want = clusters(data), clusters_by(data, 5, 80)
+    assert three == clusters_by(data, 3, 90) and three[1][1] == 1 and want[1][1] == 0
+    for small in (32, 3):
+        monkeypatch.setattr(ngram_join._tiles, "__defaults__", (small,))
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.cluster(df, 5, 80).collect()} == want
+    assert sorted(x[0] for x in rows(corpus_pipeline.near_duplicate_stage(spark, df, ""))) == sorted(i for i in want if want[i][1] == i)
+
+
 def test_bitmaps_bound_overlaps():
     rng = np.random.default_rng(4)
     for n, m in ((5, 9), (80, 70), (400, 900)):
