@@ -24,12 +24,13 @@ from strandix.llm.common import SPACE, bounded_broadcast, materialize, table, wo
 
 #: Bits of the window position in a packed window hash; the rest holds hash bits.
 POSITION_BITS = 24
-#: Squared-distance quantile of chi-square with four degrees of freedom at 1 - 1e-6.
-CUTOFF = 33.38
+#: Squared-distance quantile of chi-square with four degrees of freedom at 0.999.
+CUTOFF = 18.467
 #: Share of rows that a concentration step keeps, and the factor that makes its scatter consistent at the normal.
 SHARE, CONSISTENCY = 0.75, 1.487
-#: Least standard deviation of each transformed statistic, so that a constant statistic rejects nothing by itself.
-FLOORS = (0.08, 0.55, 1.3, 1.3)
+#: Least standard deviation of each transformed statistic, so that one that is constant in a group rejects no small
+#: change. Each times sqrt(CUTOFF) stays below its statistic's range, log1p(50) for repeats, so each can reject alone.
+FLOORS = (0.08, 0.55, 1.0, 0.85)
 MIN_GROUP, STEPS, BROADCAST_ROWS = 200, 3, 50_000
 P = len(FLOORS)
 PAIRS = list(combinations_with_replacement(range(P), 2))

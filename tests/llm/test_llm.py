@@ -182,6 +182,23 @@ def test_quality_keeps_clean_rows_and_columns(docs):
     assert quality.keep_documents(empty(docs)).count() == 0
 
 
+def test_each_statistic_rejects_alone(spark):
+    r = random.Random(14)
+    lines = lambda w: "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
+    clean = [lines(prose(r, 120).split()) for _ in range(240)]
+    passage = prose(r, 48).split()
+    odd = {
+        "length": lines([w + "ab" for w in prose(r, 120).split()]),
+        "symbols": lines([w + "#" * (i % 7 == 0) for i, w in enumerate(prose(r, 120).split())]),
+        "lines": "\n".join(r.choice(VOCAB[:40]) for _ in range(400)),
+        "repeats": lines(passage + prose(r, 57).split() + passage + prose(r, 47).split()),
+    }
+    data = [(str(i), t, "en", "s") for i, t in enumerate(clean)] + [(k, t, "en", "s") for k, t in odd.items()]
+    got = {x["doc_id"]: x for x in quality.verdicts(spark.createDataFrame(data, "doc_id string, text string, lang string, source string"), ["doc_id"]).collect()}
+    assert not any(got[k]["__q"]["base_failed"] or got[k]["__kept"] for k in odd)
+    assert sum(got[str(i)]["__kept"] for i in range(240)) >= 238
+
+
 # -- 4
 
 
