@@ -110,9 +110,11 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, formatted, mask): the formatted conversations with the byte spans of their loss."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, part = None, 0
+        held, part, given = None, 0, None  # given: the conversation whose part was written last
         for b in batches:
             rows = pa.Table.from_batches([b]).select(["conv_id", "role", "text"])
+            if held is None and rows.column("conv_id")[0].as_py() != given:
+                part = 0
             rows = pa.concat_tables([held, rows]) if held is not None else rows
             last = rows.column("conv_id")[-1].as_py()
             ids = rows.column("conv_id").combine_chunks()
@@ -125,7 +127,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
             held = rows.slice(k)
             if held.nbytes > PART:
                 yield from _format_rows(held, part)
-                held, part = None, part + 1
+                held, part, given = None, part + 1, last
         if held is not None:
             yield from _format_rows(held, part)
 

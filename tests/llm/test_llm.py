@@ -278,6 +278,18 @@ def test_long_conversations_come_in_parts(spark, monkeypatch):
     assert whole[0][2] == hashlib.sha256("".join(f"user\n{i} " * 1 + f"{i} " * 49 + "\n" for i in range(100)).encode()).hexdigest()
 
 
+def test_long_conversations_end_with_their_batch(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART", 2000)
+    df = spark.createDataFrame([(c, i, "user", f"{c} {i} " * 50) for c in (None, 0, 1, 2, 3, 4) for i in range(20)], "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(df)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c in (None, 0, 1, 2, 3, 4):
+        assert got[c]["n_turns"] == 20 and got[c]["turns_sha256"] == hashlib.sha256("".join("user\n" + f"{c} {i} " * 50 + "\n" for i in range(20)).encode()).hexdigest()
+
+
 def pa_batches(df, n):
     return -(-df.count() // n)
 
