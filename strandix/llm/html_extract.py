@@ -31,6 +31,9 @@ from strandix.llm.html_labelled import MARK, labelled_pages
 BLOCKS = frozenset("html body article aside main section nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption form fieldset legend label button select option textarea address details summary dialog hr menu center".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas title head textarea select".split())
+_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])") for t in RAW}
+#: Of these, those whose contents are read like any other where the end tag is missing.
+OPEN_ENDED = frozenset("head svg math object canvas select".split())
 #: What a start tag closes if it is open, up to the given ancestors.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCKS - {"html", "body", "li", "td", "th", "tr", "dt", "dd", "label", "button", "option", "caption", "legend", "thead", "tbody", "tfoot"}
@@ -56,7 +59,7 @@ class Dom:
         self.parent, self.depth, self.feats, self.blocks = [-1], [0], [[_TAGS["html"]]], []
         tags, stack, text, chars, linked = ["html"], [0], [], [0], [0]
         in_link, at, size = 0, 0, len(source)
-        lower = None
+        lower, endless = None, set()  # endless: names that have no end tag any more
         last_tag = source.rfind(">") + 1  # no tag ends behind it
 
         def flush() -> None:
@@ -102,10 +105,12 @@ class Dom:
                     continue
                 if lower is None:
                     lower = source.lower()
-                end = lower.find(f"</{name}", at)
-                if name == "head" and end < 0:
-                    continue
-                end = size if end < 0 else end
+                close = None if name in endless else _ENDS[name].search(lower, at)
+                if close is None:
+                    endless.add(name)
+                    if name in OPEN_ENDED:
+                        continue
+                end = size if close is None else close.start()
                 stop = lower.find(">", end)
                 at = size if stop < 0 else stop + 1
                 continue

@@ -400,6 +400,14 @@ def test_extraction(spark):
     assert html_extract.extract(df.limit(0), model).count() == 0
 
 
+def test_missing_ends_of_head_and_others():
+    texts = lambda page: [b for _, b in html_extract.Dom(page).blocks]
+    assert texts("<head><title>no</title><body><article><p>before</p><header><h1>Title</h1></header><p>after</p></article>") == ["before", "Title", "after"]
+    assert texts("<head><title>no</title></head ><body><p>a</p></body>") == ["a"]
+    for t in ("svg", "math", "canvas", "object", "select"):
+        assert texts(f"<p>a</p><{t}><p>b</p>") == ["a", "b"] and texts(f"<p>a</p><{t}>x</{t}><p>b</p>") == ["a", "b"]
+
+
 # -- 8
 
 
