@@ -7,9 +7,9 @@ spans of documents of different languages; forward-backward gives each word's ma
 `CHAIN` words and starts anew after them; all words of a text are labelled. A text's language is the one with the
 largest share of its words' marginals, and that share is its score.
 
-The model is fitted on a sample of labelled documents that is bounded by `SAMPLE_DOCS` documents a language,
-`SAMPLE_CHARS` characters a document and `LANGUAGES` languages, chosen by a hash of text and doc_id; that bounds the
-driver's work at every input size. Predictions see nothing but the text.
+The model is fitted on a sample of labelled documents that is bounded by `SAMPLE_DOCS` documents a language and
+`SAMPLE_CHARS` characters a document, chosen by a hash of text and doc_id; the driver's work grows with the number of
+languages, all of which are learned, not with the input's size. Predictions see nothing but the text.
 
 Defined results: a text that is null or has no letter is `und` with score 0; repeated rows each get a row; rows with
 null lang are labelled but not learned from; with nothing to learn from every text is `und`; an empty table gives an
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strandix.llm.common import table
 
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 400, 2_000, 64
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 2_000
 CHAIN, TABLE, LEXICON = 64, 1 << 17, 1_500
 NGRAMS, CACHE, CHARS = 5, 200_000, 2_000_000
 WORD = r"\p{L}[\p{L}\p{M}]*"
@@ -205,7 +205,7 @@ class Labeller:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from docs (doc_id, text, lang); the caller chooses which documents may be learned from."""
     docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not counts:
         return Model.fit([])
     # Each document draws a number from its hash; a language's share of that range makes its sample.

@@ -123,6 +123,14 @@ def test_language_labels(spark):
     assert language_id.Labeller(language_id.Model.fit([])).predict(["abc"])[0] == ["und"]
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id.Model, "fit", lambda rows: seen.extend(rows))
+    df = spark.createDataFrame([(i, f"text {i}", f"l{i % 90}") for i in range(270)], "doc_id long, text string, lang string")
+    language_id.train(df)
+    assert {la for _, la in seen} == {f"l{i}" for i in range(90)}
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = language_id.op2_language_id(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang"), "doc_id")
