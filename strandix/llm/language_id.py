@@ -3,8 +3,8 @@
 A word's features are the n-grams of one to five characters of the word between two boundary marks (those with a
 mark are its affixes), hashed into a table of weights, and the word itself if it is in the lexicon of frequent
 training words. Transitions between languages are learned with the feature weights, from sequences that splice
-spans of documents of different languages; forward-backward gives each word's marginals. A chain runs over at most
-`CHAIN` words and starts anew after them; all words of a text are labelled. A text's language is the one with the
+spans of documents of different languages; forward-backward gives each word's marginals. A text's words are one chain,
+however many; it is laid out in blocks of `CHAIN` words, and messages pass from block to block. A text's language is the one with the
 largest share of its words' marginals, and that share is its score.
 
 The model is fitted on a sample of labelled documents that is bounded by `SAMPLE_DOCS` documents a language and
@@ -71,15 +71,21 @@ def emissions(weights: np.ndarray, feats: np.ndarray, owner: np.ndarray, n: int)
     return np.stack([np.bincount(owner, weights[feats, k], n) for k in range(weights.shape[1])], 1)
 
 
-def forward_backward(e: np.ndarray, valid: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals [S, T, L] of chains with potentials e [S, T, L], and the scaled forward and backward messages."""
+def forward_backward(e: np.ndarray, valid: np.ndarray, trans: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals [S, T, L] of chains with potentials e [S, T, L], and the scaled forward and backward messages.
+
+    first: the messages that reach each chain's first place from what stands before it; last: those that reach its
+    last place from what follows. Without them the chains stand alone.
+    """
     s, t, k = e.shape
     alpha, beta = np.empty_like(e), np.ones_like(e)
-    a = e[:, 0]
+    a = e[:, 0] if first is None else e[:, 0] * first
     alpha[:, 0] = a / a.sum(1, keepdims=True)
     for i in range(1, t):
         a = (alpha[:, i - 1] @ trans) * e[:, i]
         alpha[:, i] = a / a.sum(1, keepdims=True)
+    if last is not None:
+        beta[:, -1] = last
     for i in range(t - 2, -1, -1):
         b = (e[:, i + 1] * beta[:, i + 1]) @ trans.T
         b /= b.sum(1, keepdims=True)
@@ -89,6 +95,40 @@ def forward_backward(e: np.ndarray, valid: np.ndarray, trans: np.ndarray) -> tup
     return m, alpha, beta
 
 
+def block_messages(table: np.ndarray, ids: np.ndarray, valid: np.ndarray, trans: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) for forward_backward over blocks of potentials table[ids]; chain names each block's text.
+
+    The blocks of a text follow one another; all but its last are full. A block's potentials and transitions multiply
+    to one matrix, for many blocks at once; messages then step from block to block, for all texts at once.
+    """
+    n, t, k = *ids.shape, table.shape[1]
+    first, last = np.ones((n, k)), np.ones((n, k))
+    begin = np.flatnonzero(np.concatenate(([True], chain[1:] != chain[:-1])))
+    count = np.diff(np.append(begin, n))
+    within = np.arange(n) - np.repeat(begin, count)
+    inner = np.flatnonzero(np.repeat(count > 1, count))
+    if not len(inner):
+        return first, last
+    through = np.zeros((n, k, k))  # from a message into a block to the forward message at its end
+    for lo in range(0, len(inner), 4096):
+        at = inner[lo : lo + 4096]
+        e, ok = table[ids[at]].astype(np.float64), valid[at]
+        m = np.eye(k) * e[:, 0, None, :]
+        for i in range(1, t):
+            m = np.where(ok[:, i, None, None], (m @ trans) * e[:, i, None, :], m)
+            m /= m.sum((1, 2), keepdims=True)
+        through[at] = m
+    order = inner[np.argsort(within[inner], kind="stable")]
+    steps = np.split(order, np.flatnonzero(np.diff(within[order])) + 1)  # the first blocks of all texts, the second, ...
+    for at in steps[1:]:
+        f = np.einsum("si,sij->sj", first[at - 1], through[at - 1]) @ trans
+        first[at] = f / f.sum(1, keepdims=True)
+    for at in steps[:0:-1]:
+        b = np.einsum("sij,sj->si", through[at], last[at]) @ trans.T
+        last[at - 1] = b / b.sum(1, keepdims=True)
+    return first, last
+
+
 class Model:
     """A fitted model: languages, feature weights and log transitions. It is small and sent to the tasks whole."""
 
@@ -183,8 +223,9 @@ class Labeller:
         valid = np.zeros(ids.shape, bool)
         ids[row, col], valid[row, col] = self._potentials(words), True
         out = np.empty((len(words), len(self.model.langs)), np.float32)
+        first, last = (x.astype(np.float32) for x in block_messages(self.table, ids, valid, self.trans, text[within % CHAIN == 0]))
         for lo in range(0, len(ids), 4096):
-            m, _, _ = forward_backward(self.table[ids[lo : lo + 4096]], valid[lo : lo + 4096], self.trans)
+            m, _, _ = forward_backward(self.table[ids[lo : lo + 4096]], valid[lo : lo + 4096], self.trans, first[lo : lo + 4096], last[lo : lo + 4096])
             at = (row >= lo) & (row < lo + 4096)
             out[at] = m[row[at] - lo, col[at]]
         return words, out, text
