@@ -31,7 +31,9 @@ from strandix.llm.html_labelled import MARK, labelled_pages
 BLOCKS = frozenset("html body article aside main section nav header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption form fieldset legend label button select option textarea address details summary dialog hr menu center".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas title head textarea select".split())
-_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])") for t in RAW}
+_ENDS = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I | re.A) for t in RAW}
+#: Of the raw elements, those that may hold another of their name.
+NESTED = frozenset("svg math object template canvas".split())
 #: Of these, those whose contents are read like any other where the end tag is missing.
 OPEN_ENDED = frozenset("head svg math object canvas select".split())
 #: What a start tag closes if it is open, up to the given ancestors.
@@ -50,6 +52,19 @@ _BASE = len(_TAGS) + len(_NAMES)
 FEATURES = _BASE + 13
 
 
+def _end_of(name: str, source: str, at: int) -> re.Match | None:
+    """The end tag of a raw element that begins before at; elements of its name inside it are passed over whole."""
+    depth, last = 1, None
+    for m in _ENDS[name].finditer(source, at):
+        if m[1]:
+            last, depth = m, depth - 1
+            if not depth:
+                return m
+        elif name in NESTED:
+            depth += 1
+    return last
+
+
 class Dom:
     """The nodes of one page: parent, depth, features and text blocks (node, text)."""
 
@@ -59,7 +74,7 @@ class Dom:
         self.parent, self.depth, self.feats, self.blocks = [-1], [0], [[_TAGS["html"]]], []
         tags, stack, text, chars, linked = ["html"], [0], [], [0], [0]
         in_link, at, size = 0, 0, len(source)
-        lower, endless = None, set()  # endless: names that have no end tag any more
+        endless = set()  # names that have no end tag any more
         last_tag = source.rfind(">") + 1  # no tag ends behind it
 
         def flush() -> None:
@@ -103,15 +118,13 @@ class Dom:
             if name in RAW:
                 if m[0].endswith("/>"):
                     continue
-                if lower is None:
-                    lower = source.lower()
-                close = None if name in endless else _ENDS[name].search(lower, at)
+                close = None if name in endless else _end_of(name, source, at)
                 if close is None:
                     endless.add(name)
                     if name in OPEN_ENDED:
                         continue
                 end = size if close is None else close.start()
-                stop = lower.find(">", end)
+                stop = source.find(">", end)
                 at = size if stop < 0 else stop + 1
                 continue
             if name == "br":
