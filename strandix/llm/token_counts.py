@@ -4,7 +4,8 @@ The pieces are those of a public rank file; a piece of rank r scores -log(r + 2)
 that equal sums are equal. A pre-token's count is the number of pieces in its best segmentation: highest score,
 then fewest pieces. The distinct pre-tokens of a batch go into a trie of their bytes. The best score and count at a
 node depend on the bytes above it alone, so they are computed once for every shared prefix, from the node's
-ancestors within the longest piece; the count at a terminal node is stored for its pre-token.
+ancestors within the longest piece; the count at a terminal node is stored for its pre-token. The trie is walked, not kept: sixteen bytes for each byte of
+the longest pre-token.
 
 Texts are cut by the tokenizer's pattern. Counts of pre-tokens, and of what stands between spaces, stay in caches
 of two generations of bounded size; what falls out is computed again. A trie lives for one batch of texts.
@@ -16,7 +17,9 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,31 +41,30 @@ class Counter:
         self.tails = {b[k:] for b in scores for k in range(len(b))}  # every end of a piece: where a look back may go on
 
     def counts(self, words: list[bytes]) -> list[int]:
-        """The number of pieces of each word; words share the work of their common prefixes through a trie."""
-        kids: list[dict[int, int]] = [{}]
-        best: list[tuple[int, int]] = [(0, 0)]  # (score, minus the pieces) at each node: larger is better
-        out = []
-        scores, tails = self.scores, self.tails
-        for w in words:
-            node, path = 0, [0]
-            for i, c in enumerate(w):
-                got = kids[node].get(c)
-                if got is None:
-                    top = (-(1 << 62), 0)
-                    for j in range(i, -1, -1):
-                        seg = w[j : i + 1]
-                        if seg not in tails:
-                            break
-                        if (s := scores.get(seg)) is not None:
-                            score, less = best[path[j]]
-                            if (score + s, less - 1) > top:
-                                top = (score + s, less - 1)
-                    got = kids[node][c] = len(kids)
-                    kids.append({})
-                    best.append(top)
-                node = got
-                path.append(node)
-            out.append(-best[node][1])
+        """The number of pieces of each word.
+
+        The trie of the words is walked depth first, which is their order as bytes: the values of the nodes above the
+        present one are all that is held, and a word goes on from the node where it leaves the word before.
+        """
+        score, pieces = array("q", [0]), array("q", [0])  # by depth: of the best segmentation of the path so far
+        out, scores, tails, before = [0] * len(words), self.scores, self.tails, b""
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            w = words[k]
+            shared = len(commonprefix((before, w)))
+            del score[shared + 1 :], pieces[shared + 1 :]
+            for i in range(shared, len(w)):
+                top, less = -(1 << 62), 0
+                for j in range(i, -1, -1):
+                    seg = w[j : i + 1]
+                    if seg not in tails:
+                        break
+                    if (s := scores.get(seg)) is not None:
+                        s += score[j]
+                        if s > top or (s == top and pieces[j] + 1 < less):
+                            top, less = s, pieces[j] + 1
+                score.append(top)
+                pieces.append(less)
+            out[k], before = pieces[-1], w
         return out
 
 
