@@ -9,7 +9,8 @@ Control strings inside roles and texts are escaped reversibly: an occurrence, wi
 its first character, gets one more there; reading back takes one away. Other text is unchanged.
 
 A conversation comes in turn order, ties by role and text. It is one row, unless it holds more than `PART` bytes:
-then it is cut between turns into parts, in order, so that no task holds more than a part and a batch.
+then it is cut between turns into parts, in order, so that no task holds more than two parts and a batch. A
+conversation's digest depends on the order of its turns, so all of them pass through one task, part by part.
 Defined results: null text and null role are empty; null conv_id is a conversation of its own; null turn sorts
 first; repeated rows are repeated turns; an empty table gives an empty result; other columns are ignored.
 """
@@ -106,12 +107,23 @@ def _format_rows(rows: pa.Table, first_part: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([ids.take(pa.array(cut[:-1])), pa.array(part), pa.array(np.diff(cut).astype(np.int64)), text, mask], schema=_SCHEMA)
 
 
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut between rows into ones of about PART bytes of text, so that offsets stay far below 31 bits."""
+    for b in batches:
+        size = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PART, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def format_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, part, n_turns, formatted, mask): the formatted conversations with the byte spans of their loss."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, part, given = None, 0, None  # given: the conversation whose part was written last
-        for b in batches:
+        for b in bounded(batches):
             rows = pa.Table.from_batches([b]).select(["conv_id", "role", "text"])
             if held is None and rows.column("conv_id")[0].as_py() != given:
                 part = 0
