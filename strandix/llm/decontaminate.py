@@ -21,7 +21,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandix.llm.common import bounded_broadcast, materialize, table
+from strandix.llm.common import bounded_broadcast, fresh, materialize, table
 
 WORDS, NUM, DEN = 5, 4, 5
 BROADCAST_ROWS = 1_000_000
@@ -99,8 +99,9 @@ def contaminated(docs: DataFrame, items: DataFrame, words: int = WORDS, num: int
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of docs that hold no item."""
-    bad = materialize(contaminated(docs, items).select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(bounded_broadcast(bad, broadcast_rows), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    (bad_id,) = fresh(docs, "bad")
+    bad = materialize(contaminated(docs, items).select(F.col("doc_id").alias(bad_id)).distinct(), "contaminated")
+    return docs.join(bounded_broadcast(bad, broadcast_rows), F.col("doc_id").eqNullSafe(F.col(bad_id)), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from strandix.llm.common import materialize, table
 
@@ -269,13 +270,12 @@ def _kept_lines(text: str | None, drop: np.ndarray | None, min_chars: int) -> tu
 
 
 def rewrite(docs: DataFrame, index: LineIndex, text_out: bool = True) -> DataFrame:
-    """docs with `__text` (if text_out), `__n_lines`, `__n_dropped` and `__sha`; docs must be in the index."""
-    drops = index.drops().select(F.col("doc_id").alias("__id"), F.col("keys").alias("__keys"))
-    df = docs.join(drops, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left").drop("__id")
+    """(row, text (if text_out), n_lines, n_dropped, sha) of every row of docs, which must be in the index; row holds all columns but text."""
+    drops = index.drops().select("doc_id", "keys")
+    given = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
+    df = given.join(drops, F.col("id").eqNullSafe(F.col("doc_id")), "left").select("text", "keys", "row")
     min_chars = index.min_chars
-    plain = [f for f in docs.schema if text_out or f.name == "doc_id"]
-    df = df.select(F.col("text").alias("__in"), "__keys", *[F.col(f"`{f.name}`") for f in plain])
-    more = [("__text", pa.string())] * text_out + [("__n_lines", pa.int64()), ("__n_dropped", pa.int64()), ("__sha", pa.string())]
+    more = [("text", pa.string())] * text_out + [("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("sha", pa.string())]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,21 +286,21 @@ def rewrite(docs: DataFrame, index: LineIndex, text_out: bool = True) -> DataFra
             out = [[r[0].decode("utf-8", "surrogatepass") for r in rows]] * text_out + [[r[1] for r in rows], [r[2] for r in rows], [hashlib.sha256(r[0]).hexdigest() for r in rows]]
             yield pa.RecordBatch.from_arrays([*b.columns[2:], *(pa.array(v, t) for v, (_, t) in zip(out, more))], [*b.schema.names[2:], *(n for n, _ in more)])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain] + ["__text string"] * text_out + ["__n_lines long", "__n_dropped long", "__sha string"])
-    return df.mapInArrow(emit, schema)
+    kinds = [("row", df.schema["row"].dataType)] + [("text", StringType())] * text_out + [("n_lines", LongType()), ("n_dropped", LongType()), ("sha", StringType())]
+    return df.mapInArrow(emit, StructType([StructField(name, kind) for name, kind in kinds]))
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """docs with repeated lines taken out of their texts; n_chars, where docs have it, is counted anew."""
     out = rewrite(docs, LineIndex.build(docs))
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("bigint")}
-    return out.select(*[(new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return out.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = rewrite(docs, LineIndex.build(docs), text_out=False)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.col("__sha").alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.col("sha").alias("kept_sha256"))
 
 
 SQL = r"""

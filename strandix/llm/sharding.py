@@ -20,7 +20,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandix.llm.common import table
+from strandix.llm.common import fresh, table
 
 #: A prime; about five hundred slots for each of 128 shards.
 SIZE, SHARDS = 65_537, 128
@@ -66,19 +66,22 @@ def slot_of(key: Column, size: int = SIZE) -> Column:
 
 
 def place(df: DataFrame, key: str, lookup: DataFrame, size: int = SIZE, spread: int = 1, spread_by: str | None = None) -> DataFrame:
-    """df with columns `__slot` and `__shard`."""
+    """df with columns `__slot` and `__shard`, with underscores before them where df has such columns."""
+    slot, shard = fresh(df, "__slot", "__shard")
     k = F.coalesce(F.col(key).cast("string"), F.lit(""))
     if spread > 1:
         k = F.concat(k, F.lit("\x1f"), F.pmod(F.xxhash64(spread_by or key), F.lit(spread)).cast("string"))
-    at = lookup.select(F.col("slot").alias("__slot"), F.col("shard").alias("__shard"))
-    return df.withColumn("__slot", slot_of(k, size)).join(F.broadcast(at), "__slot").select(*[F.col(f"`{c}`") for c in df.columns], "__slot", "__shard")
+    at = lookup.select(F.col("slot").alias(slot), F.col("shard").alias(shard))
+    return df.withColumn(slot, slot_of(k, size)).join(F.broadcast(at), slot).select(*[F.col(f"`{c}`") for c in df.columns], slot, shard)
 
 
 def write_shards(df: DataFrame, key: str, shards: list[str], path: str, size: int = SIZE, files_per_shard: int = 8) -> None:
     """Writes df as Parquet, one folder a shard; rows of a shard are dealt over several files so that no task takes a whole one."""
     placed = place(df, key, lookup_table(df.sparkSession, shards, size), size)
+    slot, shard = placed.columns[-2:]
+    (folder,) = fresh(df, "shard")
     deal = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(files_per_shard))
-    placed.repartition("__shard", deal).withColumnRenamed("__shard", "shard").drop("__slot").write.partitionBy("shard").parquet(path)
+    placed.repartition(shard, deal).drop(slot).withColumnRenamed(shard, folder).write.partitionBy(folder).parquet(path)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
