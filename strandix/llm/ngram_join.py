@@ -4,16 +4,21 @@ A document's set is its distinct shingles of `words` words, as 64-bit hashes. Tw
 100 * |A and B| >= `percent` * |A or B|. Documents with equal sets collapse to one set first. The query takes 3 words
 and 90 percent by its contract, the pipeline's stage 5 words and 80 percent; t below is percent / 100.
 
-1. Order. Shingles that many documents share are counted and ranked behind all others. The order decides only
-   how much work there is: any one order for all documents gives the same links.
-2. Tiles. A linked pair shares one of the first n - ceil(t n) + 1 shingles of either set in that order. The sets
-   that share such a shingle form its tile, sorted by size. A small tile gives its pairs of fitting size, a large
-   one each set's neighbour by size: in a group of near copies this finds nearly all of the group with a few
-   comparisons a set, not with all its pairs. Hashed bitmaps bound the overlap from above,
-   |A and B| <= |A| - bits of A not in B, and the pairs that pass are compared exactly. Linked sets form components.
-3. Bands. Large tiles that still hold more than one component are cut by size into bands a factor of 1/t wide;
-   each set meets its own band and the next. First each set outside a tile's largest component is compared with
-   its likeliest partner of another one; then all pairs of different components that pass the bitmap bound are.
+1. Bands and tiles. Sizes are cut into bands; a set belongs to its own band and looks into the next one if a set there
+   is near enough in size. Two sets that link within a band whose largest size is h differ in at most
+   k = 2 h (1 - t) / (1 + t) shingles. The band cuts the hash range into m = 3 (k + 1) / 2 parts, so that they agree
+   on m - k parts or more. A part's token is the hash of band, part and all shingles of the set in it. Each set keeps
+   the first k + 1 of its tokens in one common order, and a linked pair shares one of those it kept (the first of the
+   m - k they agree on is preceded by at most k others in either set). The order puts tokens that many sets share
+   last and parts with many shingles first: documents that share words, lines or a passage, but no more, do not meet.
+   The sets that share a token form its tile.
+2. Neighbours. In a tile, sorted by size, each set is compared with its neighbour: in a group of near copies that
+   finds nearly all of the group with a few comparisons a set, not with all its pairs. Hashed bitmaps bound the
+   overlap from above, |A and B| <= |A| - bits of A not in B, and the pairs that pass are compared exactly. Linked
+   sets form components.
+3. Mixed tiles, of more than one component. Each set outside a tile's largest component is compared with its likeliest
+   partner of another one; then all pairs of different components that pass the bitmap bound are. The sets outside
+   meet the tile in blocks, dealt by tile and block, so that no task holds a tile.
 
 No link is lost: a pair of step 3 that is left out is already in one component, or cannot link. The result is one
 row per document with its component. Defined results: null or wordless text has the empty set and links with
@@ -24,7 +29,7 @@ an empty result; other columns are ignored or carried along.
 
 from __future__ import annotations
 
-import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,17 +38,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandix.llm.common import bounded_broadcast, materialize, table
+from strandix.llm.common import bounded_broadcast, discard, fresh, materialize, table
 from strandix.llm.components import components
 
 WORDS, PERCENT = 3, 90
-#: Shingles in one count of frequent shingles, and how often one must occur there to be named frequent.
-CHUNK, FREQUENT = 2_000_000, 3
-#: Frequent shingles that are ranked by their counts; the others keep the common order. This changes no result.
+#: Tokens in one count of frequent tokens, and how often one must occur there to be named frequent.
+CHUNK, FREQUENT = 2_000_000, 4
+#: Frequent tokens that are ranked by their counts; the others keep the common order. This changes no result.
 RANKED = 1 << 20
 CACHE = 400_000
-#: Sets of a tile that are compared pair by pair without bands; rows of a broadcast.
-SMALL, BROADCAST_ROWS = 32, 1_000_000
+#: Sets of one token that go to a task, and those of a block of a mixed tile: outside the largest component, and all.
+DEAL, OUTSIDE, BLOCK = 2048, 256, 2048
+#: Sets with more copies than this share of the rows have their names broadcast: there are fewer of them than this.
+HOT_SETS, BROADCAST_ROWS = 10_000, 1_000_000
 K1, K2, K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -73,8 +80,64 @@ def shingle_set(text: str | None, cache: dict, seed: int = 0, words: int = WORDS
     return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
-def overlap_needed(n: int, percent: int = PERCENT) -> int:
-    return -(-percent * n // 100)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * K2
+    x = (x ^ (x >> np.uint64(29))) * K3
+    return x ^ (x >> np.uint64(32))
+
+
+class Bands:
+    """Bands of set sizes a factor of 1.25 or 1/t wide, whichever is more, for the threshold of `percent`."""
+
+    def __init__(self, percent: int):
+        self.percent, self.starts = percent, [1, 2]
+
+    def _reach(self, i: int) -> None:
+        while len(self.starts) < i + 2 or self.starts[-1] <= 0:
+            s = self.starts[-1]
+            self.starts.append(max(s + 1, s * 5 // 4, s * 100 // self.percent))
+
+    def of(self, n: int) -> int:
+        while self.starts[-1] <= n:
+            self._reach(len(self.starts))
+        return bisect_right(self.starts, n) - 1
+
+    def start(self, i: int) -> int:
+        self._reach(i)
+        return self.starts[i]
+
+    def differences(self, i: int) -> int:
+        """The most shingles in which two linked sets of sizes up to the band's largest differ."""
+        self._reach(i + 1)
+        return 2 * (self.starts[i + 1] - 1) * (100 - self.percent) // (100 + self.percent)
+
+
+def tile_tokens(s: np.ndarray, bands: Bands, toks: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, own) that a set keeps in its own band (own 1) and the next (own 0). toks, sorted, come last in the order of rank."""
+    n, mixed = len(s), None
+    own = bands.of(n) if n else 0
+    out, flags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for band in (own, own + 1) if n else ():
+        if band != own and 100 * n < bands.percent * bands.start(band):
+            break
+        k = bands.differences(band)
+        if not k:  # only equal sets could link, and those are one set
+            continue
+        if mixed is None:
+            mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(s))))
+        m = -(-3 * (k + 1) // 2)
+        size = np.bincount((((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)).astype(np.int64), minlength=m)
+        end = np.cumsum(size)
+        tok = _mixed(mixed[end] - mixed[end - size] + np.arange(1, m + 1, dtype=np.uint64) * K1 + np.uint64(band + 1) * K3)
+        late = np.zeros(m, np.int64)
+        if len(toks):
+            at = np.searchsorted(toks, tok)
+            at[at == len(toks)] = 0
+            late = np.where(toks[at] == tok, rank[at] + 1, 0)
+        keep = np.lexsort((tok, -size, late))[: k + 1]
+        out.append(tok[keep])
+        flags.append(np.full(len(keep), int(band == own), np.int64))
+    return np.concatenate(out), np.concatenate(flags)
 
 
 def _long(x) -> pa.Array:
@@ -101,129 +164,142 @@ def overlap_bound(p: np.ndarray, q: np.ndarray, n_p: int, n_q: int) -> int:
     return min(n_p - int(np.bitwise_count(p & ~q).sum()), n_q - int(np.bitwise_count(q & ~p).sum()))
 
 
-def signatures(docs: DataFrame, seed: int, words: int = WORDS) -> DataFrame:
-    """kind 0: (doc_id, n, s1, s2, bits), a set's size, 128-bit hash and bitmap; kind 1: a frequent shingle s1 and its count n in a chunk."""
-    names = ["kind", "doc_id", "n", "s1", "s2", "bits"]
+def _set_id(s: np.ndarray) -> int:
+    return xxhash.xxh3_128_intdigest(s.tobytes())
+
+
+def signatures(docs: DataFrame, seed: int, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """kind 0: (doc_id, n, s1, s2), a set's size and 128-bit hash; kind 1: a frequent token s1 and its count n in a chunk of sets."""
+    names = ["kind", "doc_id", "n", "s1", "s2"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, held, size = _Words(), [], 0
+        cache, bands, seen, held, size = _Words(), Bands(percent), set(), [], 0
+        none = np.zeros(0, np.uint64)
 
         def frequent() -> pa.RecordBatch:
             tok, count = np.unique(np.concatenate(held), return_counts=True)
             often = count >= max(FREQUENT, len(held) // 1000)
             k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), _long(tok[often]), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(count[often].astype(np.int64)), _long(tok[often]), pa.array(np.zeros(k, np.int64))], names)
 
         for b in batches:
-            sets = [shingle_set(t, cache, seed, words) for t in b.column(1).to_pylist()]
-            ids = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), b.column(0), pa.array([len(s) for s in sets], pa.int64()), _long([i & (2**64 - 1) for i in ids]), _long([i >> 64 for i in ids]), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names)
-            for s in sets:
-                held.append(s)
-                size += len(s)
-                if size >= CHUNK:
-                    yield frequent()
-                    held, size = [], 0
+            sizes, ids = [], []
+            for t in b.column(1).to_pylist():
+                s = shingle_set(t, cache, seed, words)
+                i = _set_id(s)
+                sizes.append(len(s))
+                ids.append(i)
+                if i not in seen:
+                    if len(seen) < CACHE:
+                        seen.add(i)
+                    held.append(tile_tokens(s, bands, none, none)[0])
+                    size += len(held[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), b.column(0), pa.array(sizes, pa.int64()), _long([i & (2**64 - 1) for i in ids]), _long([i >> 64 for i in ids])], names)
+            if size >= CHUNK:
+                yield frequent()
+                held, size = [], 0
         if held:
             yield frequent()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(emit, "kind int, doc_id long, n long, s1 long, s2 long, bits binary")
-
-
-def _prefix(s: np.ndarray, toks: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the common order: unranked ones by hash, then ranked ones from rare to frequent."""
-    k = len(s) - overlap_needed(len(s), percent) + 1
-    if not len(toks):
-        return s[:k]
-    at = np.searchsorted(toks, s)
-    at[at == len(toks)] = 0
-    hot = toks[at] == s
-    cold = s[~hot]
-    if len(cold) >= k:
-        return cold[:k]
-    return np.concatenate((cold, s[hot][np.argsort(rank[at[hot]])][: k - len(cold)]))
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(emit, "kind int, doc_id long, n long, s1 long, s2 long")
 
 
 def _postings(docs: DataFrame, seed: int, words: int, percent: int, ranked) -> DataFrame:
-    """(token, sid, n) for every prefix shingle of every text, equal sets of one task once."""
+    """(token, deal, sid, v) for every token that a text's set keeps, equal sets of one task once; v is 2 * size + own.
+
+    A frequent token's sets are dealt to as many tasks as its count needs.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, seen = _Words(), set()
-        toks, rank = ranked.value
+        cache, bands, seen = _Words(), Bands(percent), set()
+        toks, rank, ways = ranked.value
         for b in batches:
-            tok, sid, size = [], [], []
+            tok, sid, v = [], [], []
             for t in b.column(0).to_pylist():
                 s = shingle_set(t, cache, seed, words)
-                if not len(s):
+                i = _set_id(s) & (2**64 - 1)
+                if i in seen or not len(s):
                     continue
-                i = xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1)
-                if i not in seen:
-                    if len(seen) < CACHE:
-                        seen.add(i)
-                    p = _prefix(s, toks, rank, percent)
-                    tok.append(p)
-                    sid.append(np.full(len(p), i, np.uint64))
-                    size.append(np.full(len(p), len(s), np.int64))
-            if tok:
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(tok)), _long(np.concatenate(sid)), pa.array(np.concatenate(size))], ["token", "sid", "n"])
+                if len(seen) < CACHE:
+                    seen.add(i)
+                mine, own = tile_tokens(s, bands, toks, rank)
+                tok.append(mine)
+                sid.append(np.full(len(mine), i, np.uint64))
+                v.append(2 * len(s) + own)
+            if not tok:
+                continue
+            tok, sid = np.concatenate(tok), np.concatenate(sid)
+            deal = np.zeros(len(tok), np.int32)
+            if len(toks):
+                at = np.searchsorted(toks, tok)
+                at[at == len(toks)] = 0
+                many = (toks[at] == tok) & (ways[at] > 1)
+                deal[many] = 1 + (_mixed(sid[many] ^ tok[many]) % ways[at[many]].astype(np.uint64)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([_long(tok), pa.array(deal), _long(sid), pa.array(np.concatenate(v).astype(np.int32))], ["token", "deal", "sid", "v"])
+
+    return docs.select("text").mapInArrow(emit, "token long, deal int, sid long, v int")
 
-    return docs.select("text").mapInArrow(emit, "token long, sid long, n long")
 
+def _and_end(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
 
-def _tiles(postings: DataFrame, percent: int, small: int = SMALL) -> DataFrame:
-    """Tiles of two sets or more. kind 0: a pair (a, b); kind 1: a posting (token a, sid b, size n) of a large tile.
 
-    A tile of at most `small` sets gives all its pairs whose sizes allow a link, a larger one the neighbours in size
-    order, and its postings for the bands. Never more than `small` postings of a tile are held.
+def _tiles(postings: DataFrame, percent: int) -> DataFrame:
+    """Tiles of two sets or more. kind 0: a pair (a, b) of neighbours in size; kind 1: a posting (token a, sid b, v) of a tile of three or more.
+
+    Tiles are read as a stream; of one that has begun no more than two postings are held.
     """
+    names = ["kind", "a", "b", "v"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = np.zeros((3, 0), np.int64), False  # the unfinished tile; of a large one its last posting, given out
+        held, large = np.zeros((4, 0), np.int64), False  # the unfinished tile; of a large one its last posting, given out
         for b in _and_end(batches):
-            rows = held if b is None else np.concatenate([held, np.stack([b.column(i).to_numpy() for i in range(3)])], 1)
+            rows = held if b is None else np.concatenate([held, np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)])], 1)
             if not rows.shape[1]:
                 continue
-            same = (rows[0, 1:] == rows[0, :-1]) & (rows[1, 1:] == rows[1, :-1])
-            rows = rows[:, np.concatenate(([True], ~same))]
-            tok, sid, n = rows
-            start = np.concatenate(([0], np.flatnonzero(np.diff(tok)) + 1))
+            rows = rows[:, np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(0)))]
+            tok, deal, sid, v = rows
+            start = np.concatenate(([0], np.flatnonzero((np.diff(tok) != 0) | (np.diff(deal) != 0)) + 1))
             size = np.diff(np.append(start, len(tok)))
-            big = size > small
+            big = (size > 2) | (deal[start] > 0)
             big[0] |= large
             done = np.ones(len(size), bool)
             if b is not None:
                 done[-1] = big[-1]
-            size_of, big_of, done_of = np.repeat(size, size), np.repeat(big, size), np.repeat(done, size)
-            x, y = [], []
-            for d in range(1, min(small, len(tok))):
-                ok = (tok[d:] == tok[:-d]) & done_of[d:] & (100 * n[:-d] >= percent * n[d:]) & (~big_of[d:] | (d == 1))
-                at = np.flatnonzero(ok)
-                if d > 1 and not len(at):
-                    break
-                x.append(sid[at])
-                y.append(sid[at + d])
-            if x:
-                p = np.stack([np.concatenate(x), np.concatenate(y)])
-                p = np.unique(np.stack([p.min(0), p.max(0)]), axis=1) if p.shape[1] else p
+            tile, n = np.repeat(np.arange(len(size)), size), v >> 1
+            ok = (tile[1:] == tile[:-1]) & done[tile[1:]] & (100 * n[:-1] >= percent * n[1:]) & (((v[:-1] | v[1:]) & 1) == 1) & (sid[1:] != sid[:-1])
+            at = np.flatnonzero(ok)
+            if len(at):
+                p = np.stack([np.minimum(sid[at], sid[at + 1]), np.maximum(sid[at], sid[at + 1])])
+                p = np.unique(p, axis=1)
                 k = p.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(p[0]), pa.array(p[1]), pa.array(np.zeros(k, np.int64))], ["kind", "a", "b", "n"])
-            give = np.flatnonzero(big_of & done_of)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), pa.array(p[0]), pa.array(p[1]), pa.array(np.zeros(k, np.int32))], names)
+            give = np.flatnonzero((big & done)[tile])
             give = give[1:] if large and len(give) and give[0] == 0 else give
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(give), np.int32)), pa.array(tok[give]), pa.array(sid[give]), pa.array(n[give])], ["kind", "a", "b", "n"])
+            if len(give):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(give), np.int32)), pa.array(tok[give]), pa.array(sid[give]), pa.array(v[give].astype(np.int32))], names)
             large = bool(big[-1])
             held = rows[:, -1:] if large else rows[:, start[-1] :]
 
-    dealt = postings.repartition("token").sortWithinPartitions("token", "n", "sid")
-    return dealt.mapInArrow(emit, "kind int, a long, b long, n long")
+    dealt = postings.repartition("token", "deal").sortWithinPartitions("token", "deal", "v", "sid")
+    return dealt.mapInArrow(emit, "kind int, a long, b long, v int")
 
 
-def _and_end(batches: Iterator) -> Iterator:
-    yield from batches
-    yield None
+def _of_sets(docs: DataFrame, ids: DataFrame, seed: int, words: int, make, column: str) -> DataFrame:
+    """(sid, n, column) with make(set) in bytes, of the documents named in ids (doc_id); repeated rows give repeated rows."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _Words()
+        for b in batches:
+            sets = [shingle_set(t, cache, seed, words) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([_long([_set_id(s) & (2**64 - 1) for s in sets]), pa.array([len(s) for s in sets], pa.int64()), pa.array([make(s).tobytes() for s in sets], pa.binary())], ["sid", "n", column])
+
+    near = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(bounded_broadcast(ids, BROADCAST_ROWS), "doc_id", "left_semi")
+    return near.select("text").mapInArrow(emit, f"sid long, n long, {column} binary")
 
 
-def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _may_link(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps leave a link possible."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,26 +311,12 @@ def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * both >= percent * (n[i] + m[i] - both)
             yield pa.RecordBatch.from_arrays(b.filter(pa.array(keep)).columns[:2], ["a", "b"])
 
-    full = pairs.join(sets.select(F.col("s1").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x")), "a").join(sets.select(F.col("s1").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+    full = pairs.join(maps.select(F.col("sid").alias("a"), "n", F.col("bits").alias("x")), "a").join(maps.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
     return full.select("a", "b", "n", "x", "m", "y").mapInArrow(emit, "a long, b long")
 
 
-def _arrays(docs: DataFrame, ids: DataFrame, seed: int, words: int) -> DataFrame:
-    """(sid, toks) of the documents named in ids (doc_id); repeated rows of a document give repeated rows."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Words()
-        for b in batches:
-            sets = [shingle_set(t, cache, seed, words) for t in b.column(0).to_pylist()]
-            ids = [xxhash.xxh3_128_intdigest(s.tobytes()) & (2**64 - 1) for s in sets]
-            yield pa.RecordBatch.from_arrays([_long(ids), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "toks"])
-
-    near = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(bounded_broadcast(ids, BROADCAST_ROWS), "doc_id", "left_semi")
-    return near.select("text").mapInArrow(emit, "sid long, toks binary")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, seed: int, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by exact intersection of sorted arrays. `pairs` is a written table."""
+    """The pairs (a, b) that link, by exact intersection of sorted arrays, as a written table. `pairs` is one too."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -267,150 +329,159 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, seed: int, wor
                 at[at == len(q)] = 0
                 both = int((q[at] == p).sum())
                 keep[i] = 100 * both >= percent * (len(p) + len(q) - both)
-            got = b.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays(got.columns[:2], ["a", "b"])
+            yield pa.RecordBatch.from_arrays(b.filter(pa.array(keep)).columns[:2], ["a", "b"])
 
     used = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
-    arrays = materialize(_arrays(docs, used.join(sets, "s1").select(F.col("rep").alias("doc_id")), seed, words), "arrays")
+    arrays = materialize(_of_sets(docs, used.join(sets, "s1").select(F.col("rep").alias("doc_id")), seed, words, lambda s: s, "toks"), "arrays")
     full = pairs.join(arrays.select(F.col("sid").alias("a"), F.col("toks").alias("x")), "a").join(arrays.select(F.col("sid").alias("b"), F.col("toks").alias("y")), "b")
-    return full.select("a", "b", "x", "y").mapInArrow(emit, "a long, b long")
+    out = materialize(full.select("a", "b", "x", "y").mapInArrow(emit, "a long, b long"), "links")
+    discard(arrays)
+    return out
 
 
-def _band_pairs(rows: DataFrame, percent: int, best: bool, block: int = 256) -> DataFrame:
-    """Pairs of different components in a (token, band) tile whose bitmaps leave a link possible. rows: token, sid, n, comp, bits.
+def _block_pairs(rows: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Pairs of different components in a block whose bitmaps leave a link possible.
 
-    best: only the likeliest partner of each set outside the tile's largest component, at most one pair a row.
+    rows: token, rb, sb (the block), side (1: outside the tile's largest component), sid, v, comp, bits. Every set of
+    side 1 meets every set of side 0. best: only its likeliest partner, at most one pair a set and block.
     """
 
-    def pairs(sid, n, comp, probe, bits) -> Iterator[pa.RecordBatch]:
+    def pairs(side, sid, v, comp, bits) -> Iterator[pa.RecordBatch]:
         words = min(map(len, bits)) // 8
         maps = np.stack([folded(np.frombuffer(x, np.uint64), words) for x in bits])
-        rest = np.flatnonzero(probe == 0)
-        names, counts = np.unique(comp, return_counts=True)
-        outside = comp != names[counts.argmax()]  # every pair of two components has a side outside the largest
-        top, partner = np.zeros(len(sid)), np.full(len(sid), -1)
-        for lo in range(0, len(sid), block):
-            i = np.arange(lo, min(lo + block, len(sid)))
-            for jl in range(0, len(rest), 4096):
-                j = rest[jl : jl + 4096]
-                ok = (comp[i, None] != comp[None, j]) & (outside[i, None] | outside[None, j])
-                ok &= (probe[i, None] == 1) | (i[:, None] < j[None, :])
-                ok &= 100 * np.minimum(n[i, None], n[None, j]) >= percent * np.maximum(n[i, None], n[None, j])
-                x, y = np.nonzero(ok)
-                if not len(x):
-                    continue
-                x, y = i[x], j[y]
-                miss_x = np.zeros(len(x), np.int64)
-                miss_y = np.zeros(len(x), np.int64)
-                for w in range(words):
-                    p, q = maps[x, w], maps[y, w]
-                    miss_x += np.bitwise_count(p & ~q)
-                    miss_y += np.bitwise_count(q & ~p)
-                both = np.minimum(n[x] - miss_x, n[y] - miss_y)
-                good = 100 * both >= percent * (n[x] + n[y] - both)
-                x, y, share = x[good], y[good], both[good] / (n[x[good]] + n[y[good]] - both[good])
-                if not best:
-                    yield ordered(sid[x], sid[y])
-                    continue
-                for p, q in ((x, y), (y, x)):
-                    order = np.argsort(share, kind="stable")
-                    p, q, r = p[order], q[order], share[order]
-                    at = len(p) - 1 - np.unique(p[::-1], return_index=True)[1]  # the last, and so likeliest, pair of each
-                    p, q, r = p[at], q[at], r[at]
-                    new = outside[p] & (r > top[p])
-                    top[p[new]], partner[p[new]] = r[new], q[new]
-        if best and (partner >= 0).any():
-            i = np.flatnonzero(partner >= 0)
-            yield ordered(sid[i], sid[partner[i]])
-
-    def ordered(a, b) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rest = v >> 1, np.flatnonzero(side == 0)
+        for i in np.flatnonzero(side == 1):
+            ok = (comp[rest] != comp[i]) & (((v[rest] | v[i]) & 1) == 1) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
+            j = rest[ok]
+            if not len(j):
+                continue
+            miss_i = np.bitwise_count(maps[i] & ~maps[j]).sum(1, dtype=np.int64)
+            miss_j = np.bitwise_count(maps[j] & ~maps[i]).sum(1, dtype=np.int64)
+            both = np.minimum(n[i] - miss_i, n[j] - miss_j)
+            good = 100 * both >= percent * (n[i] + n[j] - both)
+            j, both = j[good], both[good]
+            if best and len(j):
+                j = j[[np.argmax(both / (n[i] + n[j] - both))]]
+            if len(j):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[i], sid[j])), pa.array(np.maximum(sid[i], sid[j]))], ["a", "b"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def close() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            c = [t.column(k).to_numpy() for k in ("sid", "n", "comp", "probe")]
-            if len(c[0]) > 1 and (c[2] != c[2][0]).any():
-                yield from pairs(*c, t.column("bits").to_pylist())
+            yield from pairs(*(t.column(k).to_numpy() for k in ("side", "sid", "v", "comp")), t.column("bits").to_pylist())
 
+        last = None
         for b in batches:
-            tok, band = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cut = [0, *(np.flatnonzero((np.diff(tok) != 0) | (np.diff(band) != 0)) + 1), b.num_rows]
+            key = np.stack([b.column(i).to_numpy() for i in range(3)])
+            cut = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1), b.num_rows]
             for lo, hi in zip(cut, cut[1:]):
-                if held and hi > lo and (held[-1].column(0)[-1].as_py(), held[-1].column(1)[-1].as_py()) != (tok[lo], band[lo]):
+                if hi == lo:
+                    continue
+                if held and last != tuple(key[:, lo]):
                     yield from close()
                     held = []
-                if hi > lo:
-                    held.append(b.slice(lo, hi - lo))
+                last = tuple(key[:, lo])
+                held.append(b.slice(lo, hi - lo))
         if held:
             yield from close()
 
-    # A set lives in its own band and looks into the one above; the slack covers rounding of the logarithm.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("bigint")
-    spread = rows.select("token", band.alias("own"), "sid", "n", "comp", "bits", F.explode(F.array(F.lit(0), F.lit(1))).alias("probe"))
-    dealt = spread.select("token", (F.col("own") + F.col("probe")).alias("band"), "sid", "n", "comp", "probe", "bits").repartition("token", "band").sortWithinPartitions("token", "band", "probe", "n")
-    return dealt.mapInArrow(tiles, "a long, b long").distinct()
-
-
-def _signed_sets(docs: DataFrame, words: int) -> tuple[DataFrame, int]:
+    dealt = rows.select("token", "rb", "sb", "side", "sid", F.col("v").cast("bigint").alias("v"), "comp", "bits").repartition("token", "rb", "sb").sortWithinPartitions("token", "rb", "sb")
+    return dealt.mapInArrow(blocks, "a long, b long").distinct()
+
+
+def _mixed_pairs(large: DataFrame, comps: DataFrame, maps: DataFrame, percent: int, best: bool) -> DataFrame:
+    """Candidate pairs (a, b), a written table, of the tiles of more than one component."""
+    named = large.join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    per = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("v") % 2).alias("own"))
+    tiles = per.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("sets"), F.max(F.struct("c", "comp"))["comp"].alias("top"), F.max("c").alias("most"), F.max("own").alias("own")).filter("comps > 1 AND own = 1")
+    rows = named.join(tiles, "token").withColumn("outside", F.col("comp") != F.col("top"))
+    if best:  # each set is looked at in its smallest tile
+        outside = rows.filter("outside").groupBy("sid").agg(F.min(F.struct("sets", "token"))["token"].alias("token"))
+        meet = materialize(outside, "outside")
+        rows = rows.join(meet.select("token").distinct(), "token", "left_semi").join(meet.withColumn("mine", F.lit(True)), ["token", "sid"], "left").withColumn("outside", F.coalesce("mine", F.lit(False)))
+    h = F.xxhash64("sid")
+    r_blocks, s_blocks = F.ceil((F.col("sets") - F.col("most")) / OUTSIDE).cast("int"), F.ceil(F.col("sets") / BLOCK).cast("int")
+    own_r, own_s = F.pmod(h, r_blocks).cast("int"), F.pmod(h, s_blocks).cast("int")
+    keep = ["token", "sid", "v", "comp"]
+    rows = rows.select(*keep, "outside", r_blocks.alias("r"), s_blocks.alias("s"), own_r.alias("own_r"), own_s.alias("own_s"))
+    meeting = rows.select(*keep, F.explode(F.sequence(F.lit(0), F.col("r") - 1)).alias("rb"), F.col("own_s").alias("sb"), F.lit(0).alias("side"))
+    asking = rows.filter("outside").select(*keep, F.col("own_r").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("sb"), F.lit(1).alias("side"))
+    return materialize(_block_pairs(meeting.unionByName(asking).join(maps.select("sid", "bits"), "sid"), percent, best), "pairs")
+
+
+def _signed_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, int]:
     """The signatures under the first seed whose 64-bit set names are all different for different sets."""
     seed = 0
     while True:
-        sig = materialize(signatures(docs, seed, words), "signatures")
+        sig = materialize(signatures(docs, seed, words, percent), "signatures")
         clash = sig.filter("kind = 0").groupBy("s1").agg(F.min("s2").alias("lo"), F.max("s2").alias("hi")).filter("lo != hi")
         if clash.isEmpty():
             return sig, seed
+        discard(sig)
         seed += 1
 
 
 def cluster(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
+    """(doc_id, n_shingles, component_id) for every row of docs; its attribute `scratch` lists the written tables it reads."""
     docs = docs.select("doc_id", "text")
     sc = docs.sparkSession.sparkContext
-    sig, seed = _signed_sets(docs, words)
-    often = sig.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s1").limit(RANKED).select("s1").toArrow()
+    sig, seed = _signed_sets(docs, words, percent)
+    often = sig.filter("kind = 1").groupBy("s1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "s1").limit(RANKED).toArrow()
     toks = often.column("s1").to_numpy().view(np.uint64)
     order = np.argsort(toks)
-    ranked = sc.broadcast((toks[order], (len(toks) - np.arange(len(toks), dtype=np.int32))[order]))
+    ways = -(-often.column("n").to_numpy() // DEAL)
+    ranked = sc.broadcast((toks[order], (len(toks) - np.arange(len(toks), dtype=np.int64))[order], ways.astype(np.int32)[order]))
 
-    sets = materialize(sig.filter("kind = 0 AND n > 0").groupBy("s1").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")), "sets")
+    sets = materialize(sig.filter("kind = 0 AND n > 0").groupBy("s1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
     tiles = materialize(_tiles(_postings(docs, seed, words, percent, ranked), percent), "tiles")
-    near = materialize(_may_link(tiles.filter("kind = 0").select("a", "b").distinct(), sets, percent), "pairs")
-    links = materialize(_verified(near, docs, sets, seed, words, percent), "links")
-    comps = materialize(components(links), "comps")
-
-    large = tiles.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("sid"), "n")
-    for best in (True, False):  # first the likeliest partners, in tiles where something is joined already: few pairs are left for the rest
-        named = large.join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-        named = materialize(named, "named")
-        held = named.groupBy("token", "comp").count().groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("count").alias("sets"))
-        mixed = held.filter("comps > 1 AND comps < sets" if best else "comps > 1").select("token")
-        rows = named.join(mixed, "token", "left_semi").join(sets.select(F.col("s1").alias("sid"), "bits"), "sid")
-        more = materialize(_band_pairs(rows, percent, best), "pairs")
+    first = tiles.filter("kind = 0").select("a", "b").distinct()
+    large = tiles.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("sid"), "v")
+    used = tiles.select(F.col("b").alias("s1")).union(tiles.filter("kind = 0").select("a")).distinct()
+    maps = materialize(_of_sets(docs, used.join(sets, "s1").select(F.col("rep").alias("doc_id")), seed, words, bitmap, "bits").dropDuplicates(["sid"]), "bitmaps")
+
+    near = materialize(_may_link(first, maps, percent), "pairs")
+    links = [_verified(near, docs, sets, seed, words, percent)]
+    comps = materialize(components(links[0]), "comps")
+    for best in (True, False):  # first the likeliest partners: few pairs are left for the rest
+        more = _mixed_pairs(large, comps, maps, percent, best)
         if more.isEmpty():
             continue
-        links = links.unionByName(materialize(_verified(more, docs, sets, seed, words, percent), "links"))
-        comps = materialize(components(links), "comps")
+        links.append(_verified(more, docs, sets, seed, words, percent))
+        every = links[0]
+        for x in links[1:]:
+            every = every.unionByName(x)
+        discard(comps)
+        comps = materialize(components(every), "comps")
 
     # From set names to the least doc_id of the component; a set without links is its own component.
     home = sets.join(comps.select(F.col("node").alias("s1"), "comp"), "s1", "left").withColumn("comp", F.coalesce("comp", "s1"))
     least = home.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = home.join(least, "comp").select("s1", "component_id")
-    # Copies of one set may be a third of all rows: they are dealt by salt, the names repeated for each salt.
-    salts = 16
-    every = sig.filter("kind = 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    out = every.join(named, ["s1", "salt"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    names = materialize(home.join(least, "comp").select("s1", "component_id", "copies"), "names")
+    for t in (tiles, maps, near, comps, sets, *links):
+        discard(t)
+    # Copies of one set may be a third of all rows: sets with more than a HOT_SETS-th of them are fewer than HOT_SETS.
+    every = sig.filter("kind = 0").select("doc_id", "n", "s1")
+    rows = names.agg(F.sum("copies")).first()[0] or 0
+    hot = names.filter(F.col("copies") > rows / HOT_SETS).select("s1", F.col("component_id").alias("hot_id"))
+    every = every.join(F.broadcast(hot), "s1", "left")
+    rest = every.filter("hot_id IS NULL").drop("hot_id").join(names.filter(F.col("copies") <= rows / HOT_SETS).select("s1", "component_id"), "s1", "left")
+    out = rest.select("doc_id", "n", "component_id").unionByName(every.filter("hot_id IS NOT NULL").select("doc_id", "n", F.col("hot_id").alias("component_id")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out.scratch = [sig, names]
+    return out
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents that are the least of their component, with all columns; repeated rows of one doc_id stay together."""
-    gone = cluster(docs, words, percent).filter("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("__id")).distinct()
+    known = cluster(docs, words, percent)
+    (gone_id,) = fresh(docs, "gone")
+    gone = known.filter("component_id IS NOT NULL AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias(gone_id)).distinct()
     gone = materialize(gone, "near-copies")
-    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left_anti")
+    for t in known.scratch:
+        discard(t)
+    return docs.join(gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone_id)), "left_anti")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
