@@ -1,24 +1,31 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries, one database per worker and its partitions.
 
 Texts are cut into pre-tokens by the tokenizer's pattern. The distinct pre-tokens of a batch that are not known yet
-become token-position rows (word, position, token), one row per byte. A recursive query joins neighbouring rows to
-the merge table and contracts each word's leftmost pair of least rank until no pair is left; decoding joins the ids
-to the vocabulary and aggregates bytes in position order. Each text is then put together from its pre-tokens.
-
-As in the public encoder of this rank-file format, a pre-token that is a token of its own is that token. The
-recursion keeps every step of a word, so its cost grows with the square of a word's length: pre-tokens of more than
-`LONG` bytes are contracted pair by pair with a heap instead, to the same ids. Caches of pre-tokens and of the pieces
-between spaces hold two generations of bounded size; what falls out is computed again.
+are the words of a recursive query. A word's state is a string with one character for each of its tokens, at first
+one for each byte. Each step lays the tokens out as rows of word and position, joins neighbours to the merge table,
+finds each word's leftmost pair of least rank and contracts it, until no pair is left; the query keeps the present
+state of a word only (USING KEY). Decoding joins the rows (text, position, token) of the whole encoded texts to the
+vocabulary and aggregates their bytes in position order.
+
+A step contracts all occurrences of its pair from the left, where that is what one at a time comes to. The merge
+table says so for every pair: no token of the same bytes is made of another pair that could overlap it, and the new
+token followed by the pair's first token has no lower rank. Other pairs are contracted one at a time, and so are all
+pairs of a word in which a later step found a lower rank than an earlier one: it is encoded again. A step costs the
+word's length, and there are no more steps than different pairs, so long words need no other way.
+
+As in the public encoder of this rank-file format, a pre-token that is a token of its own is that token. Caches of
+pre-tokens and of the pieces between spaces hold two generations of bounded size; what falls out is computed again.
+DuckDB keeps its tables in memory, within a limit; what it spills goes to the task's own folder and ends with it.
 
 Defined results: null text is the empty text, with no ids; repeated rows each get a row; an empty table gives an
-empty result; other columns are ignored or carried along.
+empty result; other columns are ignored or carried along, one named as a result column with an underscore before it.
+A vocabulary with a rank that no character can stand for (over a million) is refused.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -28,29 +35,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandix.llm.common import table
+from strandix.llm.common import fresh, table
 
-LONG = 400
 #: Entries of a cache generation, words of one recursive query, characters of texts handled at once.
 GENERATION, WORDS, CHARS = 150_000, 20_000, 2_000_000
+#: Code points of surrogates, which no token's character may be.
+SURROGATES, SURROGATES_END = 0xD800, 0xE000
 
+#: The state of each word of `words` at its fixpoint. With {every} = false pairs are contracted one at a time.
 ENCODE = """
-WITH RECURSIVE s AS (
-  SELECT w, p, t, 0 AS step FROM words
-  UNION ALL
-  SELECT s.w, s.p - (s.p > b.at)::INT, CASE WHEN s.p = b.at THEN b.merged ELSE s.t END, s.step + 1
-  FROM s JOIN (
-    SELECT w, (best % 1048576)::INT AS at, (best // 1048576)::INT AS merged FROM (
-      SELECT x.w, min(g.merged::BIGINT * 1048576 + x.p) AS best
-      FROM s x JOIN s y ON x.w = y.w AND y.p = x.p + 1 JOIN merges g ON g.pair = x.t::BIGINT * 65536 + y.t GROUP BY x.w)) b
-  ON s.w = b.w AND s.p <> b.at + 1)
-SELECT w, p, t FROM (SELECT w, p, t, step, max(step) OVER (PARTITION BY w) AS last FROM s) WHERE step = last
-"""
-#: Each word's ids in order, their number, and its bytes: ordered aggregation over the encoded rows.
-DECODE = """
-SELECT w, string_agg(t::VARCHAR, ' ' ORDER BY p) AS ids, count(*) AS n, string_agg(v.hex, '' ORDER BY p) AS bytes
-FROM encoded JOIN vocabulary v USING (t) GROUP BY w ORDER BY w
+WITH RECURSIVE s(w, t, last, back) USING KEY (w) AS (
+  SELECT w, t, -1, false FROM words
+  UNION
+  SELECT r.w, CASE WHEN {every} THEN replace(r.t, g.pair, g.merged) ELSE r.t[:b.best % 1073741824 - 1] || g.merged || r.t[b.best % 1073741824 + 2:] END,
+         g.rank, r.back OR g.rank < r.last
+  FROM s r JOIN (
+    SELECT x.w, min(h.rank::BIGINT * 1073741824 + x.p) AS best, min_by(h.id, h.rank::BIGINT * 1073741824 + x.p) AS id
+    FROM (SELECT w, unnest(string_split(t[:-2], '')) || unnest(string_split(t[2:], '')) AS pair, unnest(range(1, length(t))) AS p FROM s) x
+    JOIN merges h ON h.pair = x.pair GROUP BY x.w) b ON r.w = b.w
+  JOIN merges g ON g.id = b.id)
+SELECT w, t, back FROM s ORDER BY w
 """
+#: The bytes of each text, one character for each byte: ordered aggregation over its rows (d, p, t).
+DECODE = "SELECT d, string_agg(v.bytes, '' ORDER BY p) AS bytes FROM encoded JOIN vocabulary v USING (t) GROUP BY d"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,41 +66,28 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def sign(token: int) -> str:
+    """The character that stands for a token in a word's state; 0 is left out, and so are surrogates."""
+    c = token + 1
+    return chr(c if c < SURROGATES else c + SURROGATES_END - SURROGATES)
+
+
+def tokens(state: str) -> np.ndarray:
+    """The token numbers of a state."""
+    c = np.frombuffer(state.encode("utf-32-le"), np.uint32).astype(np.int32)
+    return np.where(c < SURROGATES, c, c - (SURROGATES_END - SURROGATES)) - 1
+
+
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """(pair, merged): every two tokens whose bytes together are a token, packed as left * 65536 + right."""
-    rows = [(left * 65536 + right, i) for b, i in ranks.items() for k in range(1, len(b)) if (left := ranks.get(b[:k])) is not None and (right := ranks.get(b[k:])) is not None]
-    return pa.table({"pair": pa.array([r[0] for r in rows], pa.int64()), "merged": pa.array([r[1] for r in rows], pa.int32())})
-
-
-def contract_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same contraction for one long word, with a heap of (rank, position) and links between neighbours."""
-    n = len(word)
-    end, prev, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap: list[tuple[int, int, int]] = []
-
-    def push(i: int) -> None:
-        if end[i] < n and (r := ranks.get(word[i : end[end[i]]])) is not None:
-            heapq.heappush(heap, (r, i, end[end[i]]))
-
-    for i in range(n):
-        push(i)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or end[i] >= n or end[end[i]] != stop:
-            continue
-        j = end[i]
-        alive[j] = False
-        end[i] = stop
-        if stop < n:
-            prev[stop] = i
-        push(i)
-        if prev[i] >= 0:
-            push(prev[i])
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[word[i : end[i]]])
-        i = end[i]
-    return out
+    """(id, pair, rank, merged, every): each two tokens whose bytes together are a token; every: all occurrences at once."""
+    rows = []
+    for b, i in ranks.items():
+        cuts = [(left, right) for k in range(1, len(b)) if (left := b[:k]) in ranks and (right := b[k:]) in ranks]
+        for left, right in cuts:
+            alone = not any(x != left and (x == right or y == left) for x, y in cuts)
+            rows.append((sign(ranks[left]) + sign(ranks[right]), i, sign(i), alone and ranks.get(b + left, i + 1) > i))
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
+    return pa.table([pa.array(range(len(rows)), pa.int32()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["id", "pair", "rank", "merged", "every"])
 
 
 class Generations:
@@ -123,53 +117,57 @@ class Generations:
 
 
 class Codec:
-    """Encoder and decoder of one partition. A piece is (ids joined by spaces, their number, the decoded bytes)."""
+    """Encoder and decoder of one worker. A text, a piece or a word encoded is a state: one character for each token."""
 
     def __init__(self, path: str, pattern: str):
         import duckdb
         import regex
 
         self.ranks = read_ranks(path)
+        if max(self.ranks.values()) + SURROGATES_END - SURROGATES >= 0x10FFFF:
+            raise ValueError("a rank of this vocabulary has no character to stand for it")
         self.find = regex.compile(pattern).findall
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
         self.con.register("merges_in", merge_table(self.ranks))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
-        self.con.register("vocabulary_in", pa.table({"t": pa.array(self.ranks.values(), pa.int32()), "hex": pa.array([b.hex() for b in self.ranks], pa.string())}))
+        self.con.register("vocabulary_in", pa.table({"t": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array([b.decode("latin-1") for b in self.ranks], pa.string())}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
-        self.single = np.array([self.ranks[bytes([c])] for c in range(256)], np.int32)
+        self.single = "".join(sign(self.ranks[bytes([c])]) for c in range(256))
+        self.whole = {b: sign(i) for b, i in self.ranks.items()}
+        self.decimal = {sign(i): str(i) for i in self.ranks.values()}
         self.words, self.pieces = Generations(GENERATION), Generations(GENERATION)
 
-    def _rows(self, words: list[bytes]) -> pa.Table:
-        """Token-position rows of the words: one row per byte."""
-        size = np.array([len(b) for b in words], np.int64)
-        first = np.repeat(np.cumsum(size) - size, size)
-        return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), size), "p": (np.arange(size.sum()) - first).astype(np.int32), "t": self.single[np.frombuffer(b"".join(words), np.uint8)]})
-
-    def pieces_of(self, words: list[bytes]) -> list[tuple[str, int, bytes]]:
-        """(ids, number, decoded bytes) of each word: recursion for most, the vocabulary for whole tokens, the heap for long ones."""
-        given = [[self.ranks[b]] if b in self.ranks else contract_long(b, self.ranks) if len(b) > LONG else None for b in words]
-        todo = [i for i, x in enumerate(given) if x is None]
-        got = [i for i, x in enumerate(given) if x is not None]
-        self.con.register("words", self._rows([words[i] for i in todo]))
-        self.con.register("places", pa.table({"k": pa.array(range(len(todo)), pa.int32()), "w": pa.array(todo, pa.int32())}))
-        size = [len(given[i]) for i in got]
-        self.con.register("known", pa.table({"w": pa.array(np.repeat(np.array(got, np.int32), size)), "p": pa.array([k for n in size for k in range(n)], pa.int32()), "t": pa.array([t for i in got for t in given[i]], pa.int32())}))
-        self.con.execute(f"CREATE OR REPLACE TABLE encoded AS SELECT places.w, e.p, e.t FROM ({ENCODE}) e JOIN places ON places.k = e.w UNION ALL SELECT w, p, t FROM known")
-        out = self.con.sql(DECODE).to_arrow_table()
-        return list(zip(out.column("ids").to_pylist(), out.column("n").to_pylist(), map(bytes.fromhex, out.column("bytes").to_pylist())))
-
-    def learn(self, words: set[str]) -> dict[str, tuple[str, int, bytes]]:
-        """The pieces of the given pre-tokens, known ones from the cache."""
+    def _contracted(self, states: list[str], every: str = "g.every") -> list[str]:
+        """The fixpoints of byte states; words whose steps went back to a lower rank once more, one pair at a time."""
+        self.con.register("words", pa.table({"w": pa.array(range(len(states)), pa.int32()), "t": pa.array(states, pa.string())}))
+        got = self.con.sql(ENCODE.format(every=every)).to_arrow_table()
+        out, back = got.column("t").to_pylist(), np.flatnonzero(got.column("back").to_numpy())
+        if len(back) and every != "false":
+            for i, t in zip(back, self._contracted([states[i] for i in back], "false")):
+                out[i] = t
+        return out
+
+    def states_of(self, words: list[bytes]) -> list[str]:
+        """Each word encoded: the vocabulary for whole tokens, the recursion for all others."""
+        out = [self.whole.get(b) for b in words]
+        todo = [i for i, x in enumerate(out) if x is None]
+        if todo:
+            for i, t in zip(todo, self._contracted([words[i].decode("latin-1").translate(self.single) for i in todo])):
+                out[i] = t
+        return out
+
+    def learn(self, words: set[str]) -> dict[str, str]:
+        """The given pre-tokens encoded, known ones from the cache."""
         got, new = self.words.split(words)
-        fresh = {}
+        more = {}
         for lo in range(0, len(new), WORDS):
             part = new[lo : lo + WORDS]
-            fresh.update(zip(part, self.pieces_of([x.encode("utf-8", "surrogatepass") for x in part])))
-        self.words.add(fresh)
-        return got | fresh
+            more.update(zip(part, self.states_of([x.encode("utf-8", "surrogatepass") for x in part])))
+        self.words.add(more)
+        return got | more
 
-    def encode(self, texts: list[str]) -> list[list[tuple[str, int, bytes]]]:
-        """For each text the pieces that make it up, in order.
+    def encode(self, texts: list[str]) -> list[str]:
+        """Each text encoded.
 
         A space that a non-space follows always begins a pre-token, so texts are cut there first, and what stands
         between is looked up whole.
@@ -178,13 +176,21 @@ class Codec:
         got, new = self.pieces.split(set().union(*cut))
         found = {x: self.find(x) for x in new}
         words = self.learn({y for f in found.values() for y in f})
-        fresh = {}
-        for x, f in found.items():
-            parts = [words[y] for y in f]
-            fresh[x] = parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts]))
-        self.pieces.add(fresh)
-        got.update(fresh)
-        return [[got[x] for x in c] for c in cut]
+        more = {x: "".join([words[y] for y in f]) for x, f in found.items()}
+        self.pieces.add(more)
+        got.update(more)
+        return ["".join([got[x] for x in c]) for c in cut]
+
+    def decode(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each sequence of token numbers."""
+        size = [len(x) for x in ids]
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        self.con.register("encoded", pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), size), "p": np.arange(len(flat), dtype=np.int64), "t": flat}))
+        got = self.con.sql(DECODE).to_arrow_table()
+        out = [b""] * len(ids)
+        for d, x in zip(got.column("d").to_pylist(), got.column("bytes").to_pylist()):
+            out[d] = x.encode("latin-1")
+        return out
 
 
 def cut_at_spaces(text: str) -> list[str]:
@@ -222,23 +228,28 @@ def slices(column: pa.Array, chars: int = CHARS) -> Iterator[list[str]]:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, carry: list[str], ids_out: bool = False) -> DataFrame:
     """The named columns of docs with n_tokens, ids_sha256, decoded_sha256, and with ids_out the ids as array<int>."""
-    plain = [docs.schema[c] for c in carry]
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids_out
+    kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids_out
+    (text,) = fresh(docs, "text_in")
+    given = docs.select(F.col("text").alias(text), *[F.col(f"`{c}`") for c in carry])
+    for c in [c for c in carry if c.lower() in names]:
+        given = given.withColumnRenamed(c, "_" + c)
+    plain = given.schema.fields[1:]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
             out = []
             for texts in slices(b.column(0)):
-                for pieces in own.encode(texts):
-                    ids = " ".join([p[0] for p in pieces])
-                    row = [sum([p[1] for p in pieces]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([p[2] for p in pieces])).hexdigest()]
-                    out.append(row + [list(map(int, ids.split()))] * ids_out)
-            kinds = [pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids_out
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * ids_out
+                states = own.encode(texts)
+                ids = [tokens(x) for x in states]
+                for x, i, back in zip(states, ids, own.decode(ids)):
+                    said = " ".join(map(own.decimal.__getitem__, x))
+                    out.append([len(x), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(back).hexdigest()] + [i] * ids_out)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds))], [*b.schema.names[1:], *names])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in plain] + ["n_tokens long, ids_sha256 string, decoded_sha256 string"] + ["ids array<int>"] * ids_out)
-    return docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`") for c in carry]).mapInArrow(emit, schema)
+    return given.mapInArrow(emit, schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

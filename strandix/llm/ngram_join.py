@@ -396,7 +396,8 @@ def _mixed_pairs(large: DataFrame, comps: DataFrame, maps: DataFrame, percent: i
     named = large.join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     per = named.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("v") % 2).alias("own"))
     tiles = per.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.sum("c").alias("sets"), F.max(F.struct("c", "comp"))["comp"].alias("top"), F.max("c").alias("most"), F.max("own").alias("own")).filter("comps > 1 AND own = 1")
-    rows = named.join(tiles, "token").withColumn("outside", F.col("comp") != F.col("top"))
+    tiles = materialize(tiles, "mixed")
+    rows = named.join(bounded_broadcast(tiles, BROADCAST_ROWS), "token").withColumn("outside", F.col("comp") != F.col("top"))
     if best:  # each set is looked at in its smallest tile
         outside = rows.filter("outside").groupBy("sid").agg(F.min(F.struct("sets", "token"))["token"].alias("token"))
         meet = materialize(outside, "outside")

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 
@@ -29,6 +30,10 @@ def prose(r, n):
     return " ".join(r.choice(VOCAB) for _ in range(n))
 
 
+#: Names that operators use for columns of their own, now or before.
+CLASHING = "row q w t n s m x l g h r d2 det kept salt level lng src id sha n_lines n_dropped n_tokens ids_sha256 text_in gone bad k1 k2 shard slot __slot sid comp bits token __q __id __text __w _gone component_id n_shingles item_id hot_id copies rep".split()
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     """Rows with every awkward case, and columns whose names clash with those that operators add."""
@@ -42,7 +47,7 @@ def docs(spark):
     texts += [" ".join(w if i % 40 else w + "x" for i, w in enumerate(base.split())), "spam " * 90, "a" * 3000, prose(r, 9000), "$$ ## " * 60]
     data = [(i, t, ["en", None, "de"][i % 3], ["s", None][i % 2], 0, "kept", 1) for i, t in enumerate(texts)]
     data += [data[20], (None, "null id " + line, "en", "s", 0, "kept", 1)]
-    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, keys string, n_words int").persist()
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, keys string, n_words int").withColumns({c: F.lit("kept") for c in CLASHING}).persist()
 
 
 def empty(docs):
@@ -77,7 +82,7 @@ def test_placement(spark, docs):
     filled = sharding.fill(names, 101)
     for r in got.collect():
         slot = int(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:15], 16) % 101
-        assert (r["__slot"], r["__shard"]) == (slot, names[filled[slot]])
+        assert (r["___slot"], r["__shard"], r["__slot"]) == (slot, names[filled[slot]], "kept")
     assert got.count() == docs.count() and sharding.place(empty(docs), "doc_id", lookup, 101).count() == 0
     assert got.select("__slot").schema and set(docs.columns) < set(got.columns)
     spread = sharding.place(docs.withColumn("k", F.lit("hot")), "k", lookup, 101, spread=64, spread_by="doc_id")
@@ -107,6 +112,19 @@ def test_forward_backward_equals_enumeration():
         assert np.allclose(m[s, :n], want / want.sum(1, keepdims=True))
 
 
+def test_a_text_is_one_chain():
+    rng = np.random.default_rng(6)
+    lab = language_id.Labeller(language_id.Model(["a", "b", "c"], [], rng.normal(0, 0.3, (language_id.TABLE, 3)), rng.normal(0, 1, (3, 3))))
+    names = ["".join(rng.choice(list("xyzuvw"), 3)) for _ in range(50)]
+    texts = [" ".join(rng.choice(names, n)) for n in (1, 63, 64, 65, 400, 128, 2, 1000)]
+    words, got, text = lab.marginals([*texts, ""])
+    trans = np.exp(lab.model.trans)
+    for k, t in enumerate(texts):
+        e = lab.table[lab._potentials(t.split())].astype(np.float64)
+        want, _, _ = language_id.forward_backward(e[None], np.ones((1, len(e)), bool), trans)
+        assert np.allclose(got[text == k], want[0], atol=1e-4)
+
+
 def test_language_labels(spark):
     r = random.Random(2)
     speak = {"aa": ["thinor", "erth", "stion", "whand"], "bb": ["queau", "ément", "oirè", "leux"]}
@@ -152,34 +170,68 @@ def base_counts(text):
 
 
 def test_base_statistics(docs):
-    got = quality.text_statistics(docs).select("doc_id", "text", "__q").collect()
+    got = quality.text_statistics(docs, ["doc_id", "text"]).select("row.*", "q").collect()
     assert len(got) == docs.count()
     for r in got:
-        q = r["__q"]
+        q = r["q"]
         want = base_counts(r["text"])
         assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == want
         assert q["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
-def test_mcd_equals_numpy(spark):
+def vectors(spark, x, src=lambda i: "=s"):
+    """A table of statistics as the operator writes it, with the given vectors."""
+    rows = [(i, False, [float(v) for v in row], "=en", src(i)) for i, row in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id long, base_failed boolean, x array<double>, lng string, src string")
+    return df.select(F.struct("doc_id").alias("row"), F.struct("base_failed", "x", "lng", "src").alias("q"))
+
+
+def regular(rows, factor=1.0):
+    return rows.mean(0), factor * np.cov(rows.T, bias=True) + np.diag(np.array(quality.FLOORS) ** 2)
+
+
+def test_mcd_is_the_least_determinant_of_all_subsets(spark):
+    rng = np.random.default_rng(5)
+    for seed in range(3):
+        x = np.abs(rng.normal([1.5, 2, 2, 2], [0.3, 0.8, 0.9, 0.9], (13, 4)))
+        x[:3] += np.array([0, 9, 12, 9])[None] * [[1], [1.3], [0.8]]
+        keep = -(-13 * 3 // 4)  # the rows before which fewer than the share of all stand
+        want = min((regular(x[list(c)], quality.CONSISTENCY) for c in itertools.combinations(range(13), keep)), key=lambda e: np.linalg.det(e[1]))
+        got = quality.fit(vectors(spark, x)).filter("g.level = 2").first()
+        assert got["n_group"] == 13 and np.allclose(got["m"], want[0], atol=1e-9)
+        assert np.allclose(got["s"], [want[1][i, j] for i, j in quality.PAIRS]) and np.isclose(got["det"], np.log(np.linalg.det(want[1])))
+
+
+def test_mcd_ends_where_steps_change_nothing(spark):
     rng = np.random.default_rng(3)
     x = np.abs(rng.normal([1.5, 0.3, 0.2, 0.8], [0.2, 0.1, 0.1, 0.3], (600, 4)))
     x[:40] += [0, 3, 0, 0]
-    stats = spark.createDataFrame([([float(v) for v in row], i) for i, row in enumerate(x)], "x array<double>, doc_id long").select("doc_id", F.struct(F.lit(False).alias("base_failed"), "x", F.array(F.lit("all"), F.lit("lang"), F.lit("pair")).alias("groups")).alias("__q"))
-    got = {r["doc_id"]: (r["__d2"], r["__kept"]) for r in quality.judge(stats, quality.fit(stats)).collect()}
-    q = np.quantile(np.round(x * 64) / 64, [0.25, 0.5, 0.75], axis=0)
-    floor = np.array(quality.FLOORS)
-    m, s = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floor) ** 2)
-    for _ in range(quality.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-        bins = np.floor(np.log1p(d) * 64)
-        before = np.array([(bins < b).sum() for b in bins])
-        near = x[before < quality.SHARE * len(x)]
-        m = near.mean(0)
-        s = quality.CONSISTENCY * np.cov(near.T, bias=True) + np.diag(floor**2)
-    d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
-    assert np.allclose([got[i][0] for i in range(600)], d)
-    assert not any(got[i][1] for i in range(30) if d[i] > quality.CUTOFF) and all(got[i][1] for i in range(40, 600))
+    params = quality.fit(vectors(spark, x, lambda i: f"={i % 2}"))
+    for r in params.collect():
+        own = x if r["g"]["level"] < 2 else x[int(r["g"]["src"][1:]) :: 2]
+        s = np.zeros((4, 4))
+        for (i, j), v in zip(quality.PAIRS, r["s"]):
+            s[i, j] = s[j, i] = v
+        bins = np.floor(np.log1p(np.einsum("ij,jk,ik->i", own - r["m"], np.linalg.inv(s), own - r["m"])) * quality.BINS)
+        near = own[np.array([(bins < b).sum() for b in bins]) < quality.SHARE * len(own)]
+        m, want = regular(near, quality.CONSISTENCY)
+        assert np.isclose(np.linalg.slogdet(want)[1], r["det"], atol=1e-4) and r["n_group"] == len(own)
+    rows = {r["row"]["doc_id"]: r for r in quality.judge(vectors(spark, x, lambda i: f"={i % 2}"), params).collect()}
+    by = {r["g"]: (np.array(r["m"]), np.array(r["s"]), r["n_group"]) for r in params.collect()}
+    draw = lambda e, to: [(e[2] * e[k] + quality.PRIOR * to[k]) / (e[2] + quality.PRIOR) for k in (0, 1)]
+    whole, lang = (by[next(g for g in by if g["level"] == k)] for k in (0, 1))
+    lang = draw(lang, whole)
+    for src in (0, 1):
+        m, flat = draw(by[next(g for g in by if g["src"] == f"={src}")], lang)
+        s = np.zeros((4, 4))
+        for (i, j), v in zip(quality.PAIRS, flat):
+            s[i, j] = s[j, i] = v
+        for i in range(src, 600, 2):
+            d = (x[i] - m) @ np.linalg.inv(s) @ (x[i] - m)
+            assert np.isclose(rows[i]["d2"], d) and rows[i]["kept"] == (d <= quality.CUTOFF)
+    assert not any(rows[i]["kept"] for i in range(40)) and all(rows[i]["kept"] for i in range(40, 600))
+    few = quality.judge(vectors(spark, x, lambda i: f"={i % 2}"), params, broadcast_rows=0)
+    assert {r["row"]["doc_id"]: r["kept"] for r in few.collect()} == {i: r["kept"] for i, r in rows.items()}
 
 
 def test_quality_keeps_clean_rows_and_columns(docs):
@@ -202,9 +254,9 @@ def test_each_statistic_rejects_alone(spark):
         "repeats": lines(passage + prose(r, 57).split() + passage + prose(r, 47).split()),
     }
     data = [(str(i), t, "en", "s") for i, t in enumerate(clean)] + [(k, t, "en", "s") for k, t in odd.items()]
-    got = {x["doc_id"]: x for x in quality.verdicts(spark.createDataFrame(data, "doc_id string, text string, lang string, source string"), ["doc_id"]).collect()}
-    assert not any(got[k]["__q"]["base_failed"] or got[k]["__kept"] for k in odd)
-    assert sum(got[str(i)]["__kept"] for i in range(240)) >= 238
+    got = {x["row"]["doc_id"]: x for x in quality.verdicts(spark.createDataFrame(data, "doc_id string, text string, lang string, source string"), ["doc_id"]).collect()}
+    assert not any(got[k]["q"]["base_failed"] or got[k]["kept"] for k in odd)
+    assert sum(got[str(i)]["kept"] for i in range(240)) >= 238
 
 
 # -- 4
@@ -313,8 +365,8 @@ def tk():
 
 
 def test_bpe_equals_the_library(docs, tk):
-    got = bpe.encode_documents(docs, PATH, pt.PATTERN, ["doc_id", "text", "keys"], ids_out=True).collect()
-    assert len(got) == docs.count()
+    got = bpe.encode_documents(docs, PATH, pt.PATTERN, ["doc_id", "text", "keys", "n_tokens"], ids_out=True).collect()
+    assert len(got) == docs.count() and all(r["_n_tokens"] == "kept" for r in got)
     for r in got:
         text = r["text"] or ""
         ids = tk.encode_ordinary(text)
@@ -329,23 +381,53 @@ def test_bpe_on_random_strings(tk):
     c = bpe.Codec(PATH, pt.PATTERN)
     parts = ["a", "b ", " ", "\n", "  ", "\t", "é", "x'll", "12", "!?", " ", "日本", "ß", "😀", " \n", "the", " the"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(400)] + ["zq" * 900, "abc" * 150]
-    for t, pieces in zip(texts, c.encode(texts)):
-        assert " ".join(p[0] for p in pieces) == " ".join(map(str, tk.encode_ordinary(t)))
-        assert b"".join(p[2] for p in pieces) == t.encode()
+    states = c.encode(texts)
+    for t, state in zip(texts, states):
+        assert bpe.tokens(state).tolist() == tk.encode_ordinary(t)
+    assert c.decode([bpe.tokens(x) for x in states]) == [t.encode() for t in texts]
     small = bpe.Generations(3)
     for k in range(10):
         small.add({k: k})
     assert len(small.new) + len(small.old) <= 6
 
 
-def test_long_words_contract_alike():
+def by_single_pairs(word, ranks):
+    """The leftmost pair of least rank, again and again."""
+    parts = [bytes([c]) for c in word]
+    while pairs := [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in ranks]:
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[x] for x in parts]
+
+
+def test_words_of_any_length_contract_pair_by_pair(tk):
     ranks = bpe.read_ranks(PATH)
     r = random.Random(3)
     c = bpe.Codec(PATH, pt.PATTERN)
-    for n in (1, 2, 30, 200):
-        w = "".join(r.choice("abstion") for _ in range(n)).encode()
-        if w not in ranks:
-            assert c.pieces_of([w])[0][0] == " ".join(map(str, bpe.contract_long(w, ranks)))
+    words = ["".join(r.choice(abc) for _ in range(n)).encode() for n in (2, 5, 9, 14, 30, 200, 700) for abc in ("a", "ab", "aab", "abstion", "eE", "xyz0-") for _ in range(12)]
+    for w, state in zip(words, c.states_of(words)):
+        assert bpe.tokens(state).tolist() == ([ranks[w]] if w in ranks else by_single_pairs(w, ranks))
+    long = ["zq" * 50_000, "a" * 100_001, "".join(r.choice("ACGT") for _ in range(100_000))]
+    assert [bpe.tokens(x).tolist() for x in c.encode(long)] == [tk.encode_ordinary(x) for x in long]
+
+
+def test_pairs_whose_order_matters_contract_one_at_a_time():
+    r = random.Random(5)
+    for _ in range(30):  # invented vocabularies, in which ranks follow no order of growth
+        made = {bytes([c]): c for c in range(256)}
+        more = list({bytes(r.choice(b"ab") for _ in range(r.randint(2, 5))) for _ in range(14)})
+        r.shuffle(more)
+        made.update({b: 256 + i for i, b in enumerate(more)})
+        lines = "".join(base64.b64encode(b).decode() + f" {i}\n" for b, i in made.items())
+        import tempfile
+
+        with tempfile.NamedTemporaryFile("w") as f:
+            f.write(lines)
+            f.flush()
+            c = bpe.Codec(f.name, pt.PATTERN)
+        words = [bytes(r.choice(b"ab") for _ in range(r.randint(6, 40))) for _ in range(40)]
+        for w, state in zip(words, c.states_of(words)):
+            assert bpe.tokens(state).tolist() == by_single_pairs(w, made)
 
 
 def test_token_counts_by_brute_force(docs):
@@ -416,6 +498,15 @@ def test_missing_ends_of_head_and_others():
         assert texts(f"<p>a</p><{t}><p>b</p>") == ["a", "b"] and texts(f"<p>a</p><{t}>x</{t}><p>b</p>") == ["a", "b"]
 
 
+def test_raw_elements_nest_and_offsets_stand():
+    texts = lambda page: [b for _, b in html_extract.Dom(page).blocks]
+    for t in ("svg", "object", "template"):
+        assert texts(f"<p>a</p><{t}>x<{t.upper()} id=y>y</{t}>z</{t}><p>b</p>") == ["a", "b"]
+        assert texts(f"<p>a</p><{t}>x<{t}>y</{t}><p>b</p>")[0] == "a"
+    assert texts("<p>" + "\u0130" * 90 + "</p><SCRIPT>var a;</Script><p>Second paragraph of text</p>") == ["\u0130" * 90, "Second paragraph of text"]
+    assert texts("<p>a</p><script>x</\u017fcript>y</script><p>b</p>") == ["a", "b"]
+
+
 # -- 8
 
 
@@ -454,9 +545,10 @@ def test_jaccard_join_by_brute_force(spark, docs, monkeypatch):
     data += [(300 + k, prose(r, 20) + " shared passage of some length in very many documents " + prose(r, 20)) for k in range(60)]
     df = spark.createDataFrame([(i, t, 7) for i, t in data], "doc_id long, text string, n int")
     want = clusters(data)
-    for small in (32, 3):
-        monkeypatch.setattr(ngram_join, "SMALL", small)
-        monkeypatch.setattr(ngram_join._tiles, "__defaults__", (small,))
+    for deal, outside, block in ((2048, 256, 2048), (5, 2, 3)):
+        monkeypatch.setattr(ngram_join, "DEAL", deal)
+        monkeypatch.setattr(ngram_join, "OUTSIDE", outside)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
         got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.cluster(df).collect()}
         assert got == want
     assert ngram_join.cluster(docs).count() == docs.count()
@@ -493,8 +585,9 @@ def test_pipeline_stage_takes_five_words_and_four_fifths(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 7) for i, t in data], "doc_id long, text string, n int")
     three, want = clusters(data), clusters_by(data, 5, 80)
     assert three == clusters_by(data, 3, 90) and three[1][1] == 1 and want[1][1] == 0
-    for small in (32, 3):
-        monkeypatch.setattr(ngram_join._tiles, "__defaults__", (small,))
+    for outside, block in ((256, 2048), (2, 3)):
+        monkeypatch.setattr(ngram_join, "OUTSIDE", outside)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.cluster(df, 5, 80).collect()} == want
     assert sorted(x[0] for x in rows(corpus_pipeline.near_duplicate_stage(spark, df, ""))) == sorted(i for i in want if want[i][1] == i)
 
@@ -550,11 +643,11 @@ def dedup(data):
 def test_line_dedup_by_brute_force(docs):
     data = [(r["doc_id"], r["text"]) for r in docs.collect()]
     index = line_dedup.LineIndex.build(docs, shard_keys=7)
-    got = line_dedup.rewrite(docs, index).select("doc_id", "__n_lines", "__n_dropped", "__text")
+    got = line_dedup.rewrite(docs, index).select("row.doc_id", "n_lines", "n_dropped", "text")
     order = lambda rs: sorted(rs, key=lambda r: (r[0] is not None, r[0] or 0, r[3]))
     assert order(rows(got)) == order(dedup(data)) and any(r[2] for r in dedup(data))
     out = line_dedup.dedup_documents(docs)
-    assert out.columns == docs.columns and all(r["n_chars"] == len(r["text"]) for r in out.collect())
+    assert out.columns == docs.columns and all(r["n_chars"] == len(r["text"]) and r["row"] == "kept" for r in out.collect())
     assert line_dedup.dedup_documents(empty(docs)).count() == 0
 
 
@@ -570,7 +663,7 @@ def test_line_index_is_reversible(docs):
     assert sorted(map(str, rows(back.drops()))) == sorted(map(str, rows(plain.drops())))
     want = {i: n for i, _, n, _ in dedup([(r["doc_id"], r["text"]) for r in both.collect()])}
     got = line_dedup.rewrite(both, whole).collect()
-    assert all(r["__n_dropped"] == want[r["doc_id"]] for r in got)
+    assert all(r["n_dropped"] == want[r["row"]["doc_id"]] for r in got)
 
 
 def test_cuckoo_filter():
