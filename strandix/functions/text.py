@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -26,11 +27,6 @@ def fold(text: Column) -> Column:
     return F.when(simple, F.lower(text)).otherwise(_folded(F.when(~simple, text)))
 
 
-def fold_native(text: Column) -> Column:
-    """Folding without Python, for corpora whose only letters that fold unlike they lower-case are sharp s."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-
-
 def raw_tokens(folded: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(_TOKEN), F.lit(0))
 
@@ -46,13 +42,15 @@ def positions(folded: Column) -> Column:
     return F.filter(all_, lambda t: F.octet_length(t["term"]) <= MAX_TOKEN_BYTES)
 
 
+def query_tokens(text: str) -> list[str]:
+    """The tokens of a query in order, cut by the same classes as documents are: marks that are alphabetic belong to a word."""
+    found = regex.findall(r"[\p{Alphabetic}\p{N}]+", unicodedata.normalize("NFKC", text).casefold())
+    return [t for t in found if len(t.encode()) <= MAX_TOKEN_BYTES]
+
+
 def query_terms(text: str) -> list[str]:
     """The distinct terms of a query in byte order."""
-    import re
-
-    folded = unicodedata.normalize("NFKC", text).casefold()
-    found = re.findall(r"[^\W_]+", folded)
-    return sorted({t for t in found if len(t.encode()) <= MAX_TOKEN_BYTES}, key=lambda t: t.encode())
+    return sorted(set(query_tokens(text)), key=lambda t: t.encode())
 
 
 def glob_regex(pattern: str) -> str:

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandix.errors import EngineError
-from strandix.functions.text import fold, query_terms, tokens
+from strandix.functions.text import fold, query_terms, query_tokens, tokens
+from strandix.operators.inverted import TextIndex
+from strandix.sources.shared import written
 
 K1, B = 1.2, 0.75
 #: Ceilings of a boolean search.
@@ -27,17 +29,22 @@ def _count(toks: str | Column, term: str) -> Column:
 
 
 def term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, len, tf): tf has one count for each query term, in order. One pass without a shuffle."""
-    tf = F.array(*[_count("tokens", q) for q in terms])
-    return docs.select("doc_id", "len", tf.alias("tf"))
+    """(doc_id, len, tf), a written table: tf has one count for each query term, in order. One pass without a shuffle.
+
+    The tokens are bound once in each row, so that they are not cut anew for every term.
+    """
+    each = F.transform(F.array("tokens"), lambda t: F.struct(F.size(t).alias("len"), F.array(*[_count(t, q) for q in terms]).alias("tf")))
+    return written(docs.select("doc_id", F.get(each, F.lit(0)).alias("c")).select("doc_id", "c.len", "c.tf"), "counts")
 
 
-def bm25(docs: DataFrame, query: str, limit: int, allow: Column | DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def bm25(docs: DataFrame | TextIndex, query: str, limit: int, allow: Column | DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(doc_id, score) of the best matches: score descending, then document.
 
-    `docs` is what `analyzed` gives. The corpus statistics come from all of it; `allow` restricts the hits only.
+    `docs` is what `analyzed` gives, which is read whole, or a stored index, of which the terms' buckets are. The corpus statistics come from all of it; `allow` restricts the hits only.
     Contributions are added in byte order of the terms, so that scores do not depend on partitioning.
     """
+    if isinstance(docs, TextIndex):
+        return docs.bm25(query, limit, allow, k1, b)
     terms = query_terms(query)
     if not terms or limit <= 0:
         return docs.select("doc_id", F.lit(0.0).alias("score")).limit(0)
@@ -164,10 +171,7 @@ def clause_score(q, toks: Column) -> Column:
         near = F.filter(toks, lambda t: F.abs(F.length(t) - len(w)) <= q.distance)
         return F.exists(near, lambda t: F.levenshtein(t, F.lit(w)) <= q.distance).cast("int")
     if isinstance(q, Phrase):
-        import re
-        import unicodedata
-
-        words = [w for w in re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", q.text).casefold()) if len(w.encode()) <= 256]
+        words = query_tokens(q.text)
         if not words:
             raise EngineError("LEX002", "empty phrase")
         starts = F.filter(F.transform(toks, lambda t, i: F.when(t == words[0], i)), lambda i: i.isNotNull())

@@ -66,6 +66,25 @@ def fold_counters(log: DataFrame) -> DataFrame:
     return total.select("key", F.when(wide, F.raise_error(F.lit("counter overflow")).cast("bigint")).otherwise(F.col("value").cast("bigint")).alias("value"))
 
 
+def fold_field_counters(log: DataFrame) -> DataFrame:
+    """(key, field, value) of increments of hash fields, a missing field counting from 0. Sums are exact, as in fold_counters."""
+    named = log.select(F.struct("key", "field").alias("key"), "delta")
+    return fold_counters(named).select("key.key", "key.field", "value")
+
+
+def outcomes(log: DataFrame) -> DataFrame:
+    """(key, seq, op, added, updated, removed) of each put and remove on (key, field): what it found decides what it did.
+
+    A field is held if its last put or remove before was a put that has not expired at that time; log: key, field, seq,
+    op, value, expiry and at, the time of the operation. One window over each field's own operations, no fold of a key.
+    """
+    w = Window.partitionBy("key", "field").orderBy("seq")
+    prev = log.filter(F.col("op").isin("put", "remove")).withColumn("was", F.lag(F.struct("op", "expiry")).over(w))
+    held = F.coalesce((F.col("was.op") == "put") & (F.col("was.expiry").isNull() | (F.col("was.expiry") > F.col("at"))), F.lit(False))
+    put = F.col("op") == "put"
+    return prev.select("key", "field", "seq", "op", (put & ~held).alias("added"), (put & held).alias("updated"), (~put & held).alias("removed"))
+
+
 def counter(text: Column) -> Column:
     """A stored counter as an integer: missing is 0; anything but canonical decimal text is an error."""
     return F.when(text.isNull(), F.lit(0).cast("bigint")).when(text.rlike(_INTEGER), text.cast("bigint")).otherwise(F.raise_error(F.lit("not an integer")).cast("bigint"))
@@ -152,22 +171,28 @@ def _set_keys(keys: list) -> list:
     return keys
 
 
+def _visited(state: DataFrame, keys: list) -> DataFrame:
+    """The members of the asked sets, or an error if they are more than may be visited."""
+    return bounded(state.filter(F.col("key").isin(_set_keys(keys))).select("key", "member").distinct(), SET_VISITS)
+
+
 def set_union(state: DataFrame, keys: list) -> DataFrame:
-    return state.filter(F.col("key").isin(_set_keys(keys))).select("member").distinct().orderBy("member")
+    return bounded(_visited(state, keys).select("member").distinct()).orderBy("member")
 
 
 def set_intersection(state: DataFrame, keys: list) -> DataFrame:
-    asked = list(dict.fromkeys(_set_keys(keys)))
+    asked, state = list(dict.fromkeys(_set_keys(keys))), _visited(state, keys)
     n = state.filter(F.col("key").isin(asked)).groupBy("member").agg(F.countDistinct("key").alias("n"))
-    return n.filter(F.col("n") == len(asked)).select("member").orderBy("member")
+    return bounded(n.filter(F.col("n") == len(asked)).select("member")).orderBy("member")
 
 
 def set_difference(state: DataFrame, keys: list) -> DataFrame:
     first, *rest = _set_keys(keys)
+    state = _visited(state, keys)
     df = state.filter(F.col("key") == first).select("member")
     if rest:
         df = df.join(state.filter(F.col("key").isin(rest)).select("member"), "member", "left_anti")
-    return df.distinct().orderBy("member")
+    return bounded(df.distinct()).orderBy("member")
 
 
 def bounded(df: DataFrame, most: int = SET_OUTPUT) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from strandix.errors import EngineError
 
 METRICS = ("cosine", "dot", "l2")
+#: Queries of one batch, which the driver sends to every task.
+QUERIES = 100_000
 
 
 def _left_fold(terms: Column) -> Column:
@@ -39,9 +41,16 @@ def distance(metric: str, v: Column, query: list[float]) -> Column:
     return 1.0 - dot / (F.sqrt(own) * F.lit(math.sqrt(norm)))
 
 
+def comparable(vectors: DataFrame, size: int, metric: str) -> DataFrame:
+    """The rows whose vector v has a distance to others of its size: not null, of that size, all components finite, for cosine not zero."""
+    finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")))  # NaN is above every number
+    ok = F.col("v").isNotNull() & (F.size("v") == size) & finite
+    return vectors.filter(ok & F.exists("v", lambda x: x != 0) if metric == "cosine" else ok)
+
+
 def exact(vectors: DataFrame, query: list[float], metric: str, k: int, allow: DataFrame | None = None, vid: str = "vec_id", col: str = "embedding") -> DataFrame:
     """(id, distance) of the nearest, by distance and id. With `allow` (a table with the id column), among those only."""
-    df = vectors.select(F.col(vid).alias("id"), F.col(col).alias("v"))
+    df = comparable(vectors.select(F.col(vid).alias("id"), F.col(col).alias("v")), len(query), metric)
     if allow is not None:
         df = df.join(allow.select(F.col(vid).alias("id")), "id", "left_semi")
     return df.select("id", distance(metric, F.col("v"), query).alias("distance")).orderBy("distance", "id").limit(k)
@@ -52,9 +61,15 @@ def batch_exact(vectors: DataFrame, queries: DataFrame, metric: str, k: int, blo
 
     Each block of vectors meets the query matrix in one product and keeps k candidates a query; the rest is top-k.
     """
-    rows = queries.orderBy("query_id").collect()
-    if len(rows) > 100_000:
+    rows = queries.limit(QUERIES + 1).collect()
+    if len(rows) > QUERIES:
         raise EngineError("LIM007", "too many queries for one batch")
+    if not rows:
+        return vectors.select(F.lit(0).cast("bigint").alias("query_id"), F.col("id").cast("bigint"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    rows.sort(key=lambda r: r["query_id"])
+    size = len(rows[0]["v"] or ())
+    if any(r["v"] is None or len(r["v"]) != size or not all(x is not None and math.isfinite(x) for x in r["v"]) or metric == "cosine" and not any(r["v"]) for r in rows):
+        raise EngineError("VEC001", "a query of the batch is no vector of its size")
     ids = np.array([r["query_id"] for r in rows], np.int64)
     q = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
     held = vectors.sparkSession.sparkContext.broadcast((ids, q))
@@ -78,7 +93,7 @@ def batch_exact(vectors: DataFrame, queries: DataFrame, metric: str, k: int, blo
 
     from pyspark.sql import Window
 
-    found = vectors.select(F.col("id"), F.col("v")).mapInPandas(near, "query_id long, id long, distance double")
+    found = comparable(vectors.select("id", "v"), size, metric).mapInPandas(near, "query_id long, id long, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -11,8 +11,8 @@ from strandix.catalog import Catalog, Index, Relation
 from strandix.errors import sql_error
 from strandix.plans import sql_parser as P
 
-#: Rows that a scan or a join may consider; only a caller that checks it pays the count.
-CANDIDATES = 1_048_576
+#: A LIMIT of this or more asks for all rows: they are sorted by range, with no top-k that one task would hold.
+NO_LIMIT = 2**31 - 1
 _FLIP = {"<": "upper", "<=": "upper", ">": "lower", ">=": "lower"}
 
 
@@ -196,7 +196,7 @@ class Binder:
         if q.where is not None:
             df = df.filter(self.predicate(q.where, rel, quoted))
         df = df.orderBy(*[quoted(rel.columns[i].name).asc_nulls_first() for i in a.order])
-        df = df.limit(a.limit) if a.limit is not None else df
+        df = df.limit(a.limit) if a.limit is not None and a.limit < NO_LIMIT else df
         return df.select(*[quoted(n) for n in names])
 
     def join(self, q: P.Join):
@@ -265,7 +265,7 @@ class Binder:
                 term = F.col(f"l{i}") == F.col(f"r{j}")
                 on = term if on is None else on & term
             out = ldf.join(rdf, on).orderBy(*[F.col(f"l{i}") for i in left.key])
-            out = out.limit(q.limit) if q.limit is not None else out
+            out = out.limit(q.limit) if q.limit is not None and q.limit < NO_LIMIT else out
             return out.select(*[F.col(f"{'l' if is_left else 'r'}{(left if is_left else right).at(n)}").alias(alias) for is_left, n, alias in wanted])
 
         label = f"IndexedInnerJoin(left_table={left.id},left_access={left_access},right_table={right.id},right_access={right_access})"

@@ -196,11 +196,15 @@ def lex(text: str) -> list[tuple[str, str]]:
     return out
 
 
+#: Parentheses inside one another in a filter.
+MAX_DEPTH = 64
+
+
 class Parser:
     """Parses one statement; `params` counts its positional parameters."""
 
     def __init__(self, text: str):
-        self.toks, self.at, self.params = lex(text), 0, 0
+        self.toks, self.at, self.params, self.depth = lex(text), 0, 0, 0
 
     # -- tokens
     def peek(self, n: int = 0) -> tuple[str, str]:
@@ -268,28 +272,33 @@ class Parser:
 
     # -- predicates
     def filter(self):
-        left = self.conjunction()
+        terms = [self.conjunction()]
         while self.word("OR"):
-            left = Or(left, self.conjunction())
-        return left
+            terms.append(self.conjunction())
+        return balanced(Or, terms)
 
     def conjunction(self):
-        left = self.negation()
+        terms = [self.negation()]
         while self.word("AND"):
-            left = And(left, self.negation())
-        return left
+            terms.append(self.negation())
+        return balanced(And, terms)
 
     def negation(self):
-        if self.word("NOT"):
-            return Not(self.negation())
-        if self.peek() == ("op", "("):
-            if self.peek(2) == ("op", ","):
-                return self.row_compare()
+        negations = 0
+        while self.word("NOT"):
+            negations += 1
+        if self.peek() == ("op", "(") and self.peek(2) != ("op", ","):
+            self.depth += 1
+            if self.depth > MAX_DEPTH:
+                raise sql_error(1, f"parentheses nested over {MAX_DEPTH} deep")
             self.at += 1
-            inner = self.filter()
+            term = self.filter()
             self.need_op(")")
-            return inner
-        return self.predicate()
+            self.depth -= 1
+        else:
+            term = self.row_compare() if self.peek() == ("op", "(") else self.predicate()
+        # Two negations cancel out in three-valued logic as well.
+        return Not(term) if negations % 2 else term
 
     def comparison(self) -> str:
         for sym in ("=", "<>", "!=", "<=", ">=", "<", ">"):
@@ -540,6 +549,14 @@ class Parser:
         raise sql_error(1, f"near {self.peek()[1]!r}")
 
 
+def balanced(kind, terms: list):
+    """The terms joined by And or Or as a tree of little depth; both are associative."""
+    if len(terms) == 1:
+        return terms[0]
+    mid = len(terms) // 2
+    return kind(balanced(kind, terms[:mid]), balanced(kind, terms[mid:]))
+
+
 def conjuncts(f) -> list:
     """The terms that a filter joins by AND at its top."""
     return [] if f is None else conjuncts(f.left) + conjuncts(f.right) if isinstance(f, And) else [f]
