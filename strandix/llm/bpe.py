@@ -57,7 +57,7 @@ WITH RECURSIVE s(w, t, last, back) USING KEY (w) AS (
 SELECT w, t, back FROM s ORDER BY w
 """
 #: The bytes of each text, one character for each byte: ordered aggregation over its rows (d, p, t).
-DECODE = "SELECT d, string_agg(v.bytes, '' ORDER BY p) AS bytes FROM encoded JOIN vocabulary v USING (t) GROUP BY d"
+DECODE = "SELECT d, array_to_string(list(v.bytes ORDER BY p), '') AS bytes FROM encoded JOIN vocabulary v USING (t) GROUP BY d"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
