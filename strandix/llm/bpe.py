@@ -13,20 +13,19 @@ token followed by the pair's first token has no lower rank. Other pairs are cont
 pairs of a word in which a later step found a lower rank than an earlier one: it is encoded again. A step costs the
 word's length, and there are no more steps than different pairs, so long words need no other way.
 
-As in the public encoder of this rank-file format, a pre-token that is a token of its own is that token. Caches of
-pre-tokens and of the pieces between spaces hold two generations of bounded size; what falls out is computed again.
+As in the public encoder of this rank-file format, a pre-token that is a token of its own is that token. The cache of
+pre-tokens holds two generations of bounded size; what falls out is computed again.
 DuckDB keeps its tables in memory, within a limit; what it spills goes to the task's own folder and ends with it.
 
 Defined results: null text is the empty text, with no ids; repeated rows each get a row; an empty table gives an
 empty result; other columns are ignored or carried along, one named as a result column with an underscore before it.
-A vocabulary with a rank that no character can stand for (over a million) is refused.
+A vocabulary with a rank that no character can stand for (over a million), or with a token of more than 256 pairs, is refused.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,18 +41,23 @@ GENERATION, WORDS, CHARS = 150_000, 20_000, 2_000_000
 #: Code points of surrogates, which no token's character may be.
 SURROGATES, SURROGATES_END = 0xD800, 0xE000
 
-#: The state of each word of `words` at its fixpoint. With {every} = false pairs are contracted one at a time.
+#: The state of each word of `words` at its fixpoint. With {every} = false pairs are contracted one at a time. A pair's
+#: key is its rank and its number among the pairs of that rank; the position stands between them, so that the least sum
+#: is a word's leftmost pair of least rank. Neighbours of short states are taken by position, which costs the position's
+#: distance from the start, those of others from the list of all characters: the rows are the same.
 ENCODE = """
 WITH RECURSIVE s(w, t, last, back) USING KEY (w) AS (
   SELECT w, t, -1, false FROM words
   UNION
-  SELECT r.w, CASE WHEN {every} THEN replace(r.t, g.pair, g.merged) ELSE r.t[:b.best % 1073741824 - 1] || g.merged || r.t[b.best % 1073741824 + 2:] END,
+  SELECT r.w, CASE WHEN {every} THEN replace(r.t, g.pair, g.merged) ELSE r.t[:(b.best >> 8) % 1073741824 - 1] || g.merged || r.t[(b.best >> 8) % 1073741824 + 2:] END,
          g.rank, r.back OR g.rank < r.last
   FROM s r JOIN (
-    SELECT x.w, min(h.rank::BIGINT * 1073741824 + x.p) AS best, min_by(h.id, h.rank::BIGINT * 1073741824 + x.p) AS id
-    FROM (SELECT w, unnest(string_split(t[:-2], '')) || unnest(string_split(t[2:], '')) AS pair, unnest(range(1, length(t))) AS p FROM s) x
+    SELECT x.w, min(h.key + x.p * 256) AS best
+    FROM (SELECT w, substring(t, p, 2) AS pair, p FROM (SELECT w, t, unnest(range(1, length(t))) AS p FROM s WHERE length(t) <= 64)
+          UNION ALL
+          SELECT w, unnest(string_split(t[:-2], '')) || unnest(string_split(t[2:], '')), unnest(range(1, length(t))) FROM s WHERE length(t) > 64) x
     JOIN merges h ON h.pair = x.pair GROUP BY x.w) b ON r.w = b.w
-  JOIN merges g ON g.id = b.id)
+  JOIN merges g ON g.key = b.best - (b.best >> 8) % 1073741824 * 256)
 SELECT w, t, back FROM s ORDER BY w
 """
 #: The bytes of each text, one character for each byte: ordered aggregation over its rows (d, p, t).
@@ -79,15 +83,17 @@ def tokens(state: str) -> np.ndarray:
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """(id, pair, rank, merged, every): each two tokens whose bytes together are a token; every: all occurrences at once."""
+    """(key, pair, rank, merged, every): each two tokens whose bytes together are a token; every: all occurrences at once."""
     rows = []
     for b, i in ranks.items():
         cuts = [(left, right) for k in range(1, len(b)) if (left := b[:k]) in ranks and (right := b[k:]) in ranks]
-        for left, right in cuts:
+        if len(cuts) > 256:
+            raise ValueError("a token of this vocabulary is made of more than 256 pairs")
+        for n, (left, right) in enumerate(cuts):
             alone = not any(x != left and (x == right or y == left) for x, y in cuts)
-            rows.append((sign(ranks[left]) + sign(ranks[right]), i, sign(i), alone and ranks.get(b + left, i + 1) > i))
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_())
-    return pa.table([pa.array(range(len(rows)), pa.int32()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["id", "pair", "rank", "merged", "every"])
+            rows.append((i * 2**38 + n, sign(ranks[left]) + sign(ranks[right]), i, sign(i), alone and ranks.get(b + left, i + 1) > i))
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.bool_())
+    return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["key", "pair", "rank", "merged", "every"])
 
 
 class Generations:
@@ -135,7 +141,7 @@ class Codec:
         self.single = "".join(sign(self.ranks[bytes([c])]) for c in range(256))
         self.whole = {b: sign(i) for b, i in self.ranks.items()}
         self.decimal = {sign(i): str(i) for i in self.ranks.values()}
-        self.words, self.pieces = Generations(GENERATION), Generations(GENERATION)
+        self.words = Generations(GENERATION)
 
     def _contracted(self, states: list[str], every: str = "g.every") -> list[str]:
         """The fixpoints of byte states; words whose steps went back to a lower rank once more, one pair at a time."""
@@ -167,25 +173,16 @@ class Codec:
         return got | more
 
     def encode(self, texts: list[str]) -> list[str]:
-        """Each text encoded.
-
-        A space that a non-space follows always begins a pre-token, so texts are cut there first, and what stands
-        between is looked up whole.
-        """
-        cut = [cut_at_spaces(t) for t in texts]
-        got, new = self.pieces.split(set().union(*cut))
-        found = {x: self.find(x) for x in new}
-        words = self.learn({y for f in found.values() for y in f})
-        more = {x: "".join([words[y] for y in f]) for x, f in found.items()}
-        self.pieces.add(more)
-        got.update(more)
-        return ["".join([got[x] for x in c]) for c in cut]
+        """Each text encoded."""
+        found = [self.find(t) for t in texts]
+        words = self.learn(set().union(*found))
+        return ["".join(map(words.__getitem__, f)) for f in found]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each sequence of token numbers."""
         size = [len(x) for x in ids]
         flat = np.concatenate([np.zeros(0, np.int32), *ids])
-        self.con.register("encoded", pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), size), "p": np.arange(len(flat), dtype=np.int64), "t": flat}))
+        self.con.register("encoded", pa.table({"d": np.repeat(np.arange(len(ids), dtype=np.int32), size), "p": np.arange(len(flat), dtype=np.int32), "t": flat}))
         got = self.con.sql(DECODE).to_arrow_table()
         out = [b""] * len(ids)
         for d, x in zip(got.column("d").to_pylist(), got.column("bytes").to_pylist()):
@@ -193,19 +190,6 @@ class Codec:
         return out
 
 
-def cut_at_spaces(text: str) -> list[str]:
-    """The text in pieces, cut before every space that a non-space follows."""
-    if not text:
-        return []
-    if _INNER.search(text):
-        return [x for x in _BEFORE.split(text) if x]
-    first, *rest = text.split(" ")
-    rest = [" " + x for x in rest]
-    return [first, *rest] if first else rest
-
-
-_BEFORE = re.compile(r"(?= \S)")
-_INNER = re.compile(r" (?!\S)")
 #: The codecs of this worker process: a partition that comes later finds the database and what the earlier ones learned.
 _CODECS: dict[tuple[str, str], Codec] = {}
 

@@ -17,6 +17,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 from array import array
 from collections.abc import Iterator
 from os.path import commonprefix
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandix.llm.bpe import GENERATION, Generations, cut_at_spaces, read_ranks, slices
+from strandix.llm.bpe import GENERATION, Generations, read_ranks, slices
 from strandix.llm.common import table
 
 
@@ -68,6 +69,21 @@ class Counter:
         return out
 
 
+_BEFORE = re.compile(r"(?= \S)")
+_INNER = re.compile(r" (?!\S)")
+
+
+def cut_at_spaces(text: str) -> list[str]:
+    """The text in pieces, cut before every space that a non-space follows: such a space always begins a pre-token."""
+    if not text:
+        return []
+    if _INNER.search(text):
+        return [x for x in _BEFORE.split(text) if x]
+    first, *rest = text.split(" ")
+    rest = [" " + x for x in rest]
+    return [first, *rest] if first else rest
+
+
 class TextCounter:
     """Counts of whole texts: (pre-tokens, tokens), with caches."""
 
