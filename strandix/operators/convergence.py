@@ -33,6 +33,37 @@ class Converged:
     explain: list[dict] = field(default_factory=list)
 
 
+def scalar_source(name: str, strings: DataFrame, cap: int = DEFAULT_ROWS) -> Source:
+    """Every string: (key, its bytes)."""
+    return Source(name, strings.select(F.col("key").alias("object_id"), "value"), "bytes", cap, "scalar")
+
+
+def hash_source(name: str, state: DataFrame, key, cap: int = DEFAULT_ROWS) -> Source:
+    """The fields of one hash: (field, its bytes)."""
+    return Source(name, state.filter(F.col("key") == key).select(F.col("field").alias("object_id"), "value"), "bytes", cap, "hash")
+
+
+def stream_source(name: str, entries: DataFrame, key, cap: int = DEFAULT_ROWS) -> Source:
+    """The fields of one stream's entries, exploded: (field, its bytes). A field in two entries is a repeated id."""
+    rows = entries.filter(F.col("key") == key).select(F.explode("fields").alias("object_id", "value"))
+    return Source(name, rows, "bytes", cap, "stream")
+
+
+def set_source(name: str, state: DataFrame, key, cap: int = DEFAULT_ROWS) -> Source:
+    """The members of one set; they carry no value."""
+    return Source(name, state.filter(F.col("key") == key).select(F.col("member").alias("object_id"), F.lit(None).alias("value")), "missing", cap, "set")
+
+
+def list_source(name: str, state: DataFrame, key, cap: int = DEFAULT_ROWS) -> Source:
+    """The elements of one list; they carry no value, and one that is there twice is a repeated id."""
+    return Source(name, state.filter(F.col("key") == key).select(F.col("value").alias("object_id"), F.lit(None).alias("value")), "missing", cap, "list")
+
+
+def sorted_set_source(name: str, state: DataFrame, key, cap: int = DEFAULT_ROWS) -> Source:
+    """The members of one sorted set: (member, score)."""
+    return Source(name, state.filter(F.col("key") == key).select(F.col("member").alias("object_id"), F.col("score").alias("value")), "score", cap, "sorted set")
+
+
 def source_column(s: Source):
     v = F.col("value")
     if s.kind == "missing":

@@ -106,11 +106,47 @@ def fold_members(log: DataFrame, at: int) -> DataFrame:
 
 
 def headers(log: DataFrame, at: int) -> DataFrame:
-    """(key, expiry) of the structures that exist at a time, empty ones too; expiry comes from the last create or expire."""
-    last = log.groupBy("key").agg(F.max_by("op", F.when(F.col("op") != "expire", F.col("seq"))).alias("op"), F.max_by("expiry", F.when(F.col("op").isin("create", "expire"), F.col("seq"))).alias("expiry"))
+    """(key, expiry) of the structures that exist at a time, empty ones too; expiry comes from the last create or expire,
+    and a delete ends it."""
+    own = F.when(F.col("op") != "delete", F.col("expiry"))
+    last = log.groupBy("key").agg(F.max_by("op", F.when(F.col("op") != "expire", F.col("seq"))).alias("op"), F.max_by(own, F.when(F.col("op").isin("create", "expire", "delete"), F.col("seq"))).alias("expiry"))
     return last.filter((F.col("op") != "delete") & visible("expiry", at)).select("key", "expiry")
 
 
+def live_members(log: DataFrame, at: int) -> DataFrame:
+    """fold_members of the structures that have not expired as wholes; an expired one is made again by a create."""
+    return fold_members(log, at).join(headers(log, at).select("key"), "key", "left_semi")
+
+
+def fold_expiring(log: DataFrame, at: int) -> DataFrame:
+    """(key, field, value, expiry) from put, remove and expire on (key, field), where expire sets a field's own expiry.
+
+    log: key, field, seq, op, value, expiry and at, the time of the operation. An expire on a field that is missing or
+    has expired by then does nothing, so a field lives only if each expire since its last put found it alive.
+    """
+    w = Window.partitionBy("key", "field").orderBy("seq")
+    ops = log.filter(F.col("op").isin("put", "remove", "expire"))
+    ops = ops.withColumn("life", F.sum(F.when(F.col("op") == "expire", 0).otherwise(1)).over(w)).withColumn("before", F.lag("expiry").over(w))
+    late = (F.col("op") == "expire") & F.coalesce(F.col("before") <= F.col("at"), F.lit(False))
+    lives = ops.groupBy("key", "field", "life").agg(F.min_by("op", "seq").alias("op"), F.min_by("value", "seq").alias("value"), F.max_by("expiry", "seq").alias("expiry"), F.max(late).alias("late"))
+    last = lives.groupBy("key", "field").agg(F.max_by(F.struct("op", "value", "expiry", "late"), "life").alias("x"))
+    return last.filter((F.col("x.op") == "put") & ~F.col("x.late")).select("key", "field", "x.value", "x.expiry").filter(visible("expiry", at))
+
+
+def counters_of(state: DataFrame, keys: list[str]) -> DataFrame:
+    """(position, key, value) of stored counters in the order asked for; a missing one is 0, other text is an error."""
+    if len(keys) > BATCH:
+        raise EngineError("LIM009", "too many keys")
+    asked = state.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(k) for k in keys])).alias("position", "key"))
+    return asked.join(state.filter(F.col("key").isin(keys)).select("key", "value"), "key", "left").select("position", "key", counter(F.col("value")).alias("value")).orderBy("position")
+
+
+def allowed_by(strings: DataFrame, prefix: str, value: str, at: int) -> DataFrame:
+    """(doc_id) of the strings under a key prefix that hold exactly this value at a time: the filter of a search."""
+    hit = F.col("key").startswith(prefix) & (F.col("value") == value) & visible("expiry", at)
+    return strings.filter(hit).select(F.substring("key", F.lit(len(prefix) + 1), F.length("key")).cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL")
+
+
 def get_many(state: DataFrame, key, fields: list[str]) -> DataFrame:
     """(position, field, value) in the order asked for; repeated fields are repeated, missing ones null."""
     if len(fields) > BATCH:
@@ -245,6 +281,24 @@ def z_range_by_score(state: DataFrame, key, low: float | None, high: float | Non
     return df if limit is None else df.limit(limit)
 
 
+def z_outcomes(log: DataFrame) -> DataFrame:
+    """(key, member, seq, outcome) of each add and remove: added, updated, unchanged, removed or missing.
+
+    log: key, member, seq, op (add or remove), score. One window over each member's own operations.
+    """
+    w = Window.partitionBy("key", "member").orderBy("seq")
+    was = log.withColumn("score", clean_score(F.col("score"))).withColumn("was", F.lag(F.struct("op", "score")).over(w))
+    held, add = F.coalesce(F.col("was.op") == "add", F.lit(False)), F.col("op") == "add"
+    outcome = F.when(add & ~held, "added").when(add & (F.col("was.score") == F.col("score")), "unchanged").when(add, "updated").when(held, "removed").otherwise("missing")
+    return was.select("key", "member", "seq", outcome.alias("outcome"))
+
+
+def fold_scores(log: DataFrame) -> DataFrame:
+    """(key, member, score) after all adds and removes; log as for z_outcomes."""
+    last = log.groupBy("key", "member").agg(F.max_by(F.struct("op", "score"), "seq").alias("x"))
+    return last.filter(F.col("x.op") == "add").select("key", "member", clean_score(F.col("x.score")).alias("score"))
+
+
 def clean_score(c: Column) -> Column:
     """NaN is refused; minus zero is zero."""
     return F.when(F.isnan(c), F.raise_error(F.lit("score is not a number")).cast("double")).otherwise(c + F.lit(0.0))
@@ -260,6 +314,11 @@ def pushed_list(log: DataFrame) -> DataFrame:
     return log.select("key", F.when(F.col("side") == "left", -n).otherwise(n - 1).cast("bigint").alias("pos"), "value")
 
 
+def push_lengths(log: DataFrame) -> DataFrame:
+    """(key, seq, length): what each push of a log that pushes only returns. log: key, seq."""
+    return log.select("key", "seq", F.row_number().over(Window.partitionBy("key").orderBy("seq")).cast("bigint").alias("length"))
+
+
 def fold_list(log: DataFrame) -> DataFrame:
     """(key, pos, value, popped) of logs that push and pop, in order: log: key, seq, op (lpush rpush lpop rpop), value.
 
@@ -306,6 +365,16 @@ def appended(log: DataFrame) -> DataFrame:
     return log.select("key", F.row_number().over(w).cast("bigint").alias("entry_id"), "fields")
 
 
+def live_entries(log: DataFrame, at: int) -> DataFrame:
+    """(key, entry_id, fields) of the streams that exist at a time, from append, create, expire and delete operations.
+
+    log: key, seq, op, fields, expiry. A stream that was deleted and made again counts its entries from 1.
+    """
+    cuts = log.filter(F.col("op").isin("create", "delete")).groupBy("key").agg(F.max("seq").alias("cut"))
+    new = log.filter(F.col("op") == "append").join(cuts, "key", "left").filter(F.col("cut").isNull() | (F.col("seq") > F.col("cut")))
+    return appended(new.join(headers(log, at).select("key"), "key", "left_semi"))
+
+
 def x_range(state: DataFrame, key, low: int, high: int, limit: int) -> DataFrame:
     return state.filter((F.col("key") == key) & F.col("entry_id").between(low, high)).orderBy("entry_id").limit(limit)
 
@@ -328,3 +397,22 @@ def expire_due(header: DataFrame, at: int, most: int) -> tuple[DataFrame, DataFr
     due = header.filter(F.col("expiry") <= at).orderBy("expiry", "key")
     gone = due.limit(most)
     return gone, header.join(gone.select("key"), "key", "left_anti"), due.limit(most + 1).count() > most
+
+
+def sweep(header: DataFrame, at: int, most: int = EXPIRE_KEYS) -> tuple[DataFrame, DataFrame]:
+    """(what is removed, with the round that removes it; what stays) when expire_due runs until nothing is due.
+
+    Maintenance only: reads decide by the time they are given, not by whether a sweep has run. The rounds are those of
+    one order by (expiry, key): due keys are counted for each time of expiry, the counts, of a bounded number of times,
+    are summed in one task, and keys are numbered within their time.
+    """
+    if not 1 <= most <= EXPIRE_KEYS:
+        raise EngineError("LIM009", "one to 4096 keys")
+    due = header.filter(F.col("expiry") <= at)
+    late = due.groupBy("expiry").agg(F.count(F.lit(1)).alias("n"))
+    if late.limit(SET_VISITS + 1).count() > SET_VISITS:
+        raise EngineError("LIM010", f"more than {SET_VISITS} times of expiry are due")
+    before = late.withColumn("before", F.sum("n").over(Window.orderBy("expiry")) - F.col("n")).select("expiry", "before")
+    place = F.row_number().over(Window.partitionBy("expiry").orderBy("key")) - 1 + F.col("before")
+    gone = due.join(before, "expiry").withColumn("round", F.floor(place / most).cast("bigint")).drop("before")
+    return gone, header.filter(visible("expiry", at))
