@@ -131,13 +131,29 @@ def q15_nanos(a: list[int], b: list[int]) -> int:
 
 
 def retrieve_q15(vectors: DataFrame, query: list[int], limit: int, vid: str = "vec_id", col: str = "q15") -> DataFrame:
-    """(id, score_nanos) by score descending and id; integers throughout."""
+    """(id, score_nanos) by score descending and id, as q15_nanos scores: exact integers of up to 38 digits throughout.
 
-    @F.pandas_udf("bigint")
-    def score(v: pd.Series) -> pd.Series:
-        return v.map(lambda x: q15_nanos([int(i) for i in x], query))
-
-    return vectors.select(F.col(vid).alias("id"), score(F.col(col)).alias("score_nanos")).orderBy(F.desc("score_nanos"), "id").limit(limit)
+    Null vectors and those of another length or with a null component are never found; a zero vector or a component out
+    of range is an error. The root is that of double precision, corrected by one where its square says so.
+    """
+    if any(not -32767 <= x <= 32767 for x in query):
+        raise EngineError("VEC003", "component out of range")
+    if not any(query):
+        raise EngineError("VEC002", "zero vector")
+    wide = lambda c: c.cast("decimal(38,0)")
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    v = F.transform(F.col(col), lambda x: x.cast("bigint"))
+    rows = vectors.filter((F.size(col) == len(query)) & ~F.exists(col, lambda x: x.isNull())).select(F.col(vid).alias("id"), v.alias("v"))
+    rows = rows.withColumn("v", F.when(F.exists("v", lambda x: F.abs(x) > 32767), F.raise_error(F.lit("component out of range")).cast("array<bigint>")).otherwise(F.col("v")))
+    given = F.array(*[F.lit(x).cast("bigint") for x in query])
+    rows = rows.select("id", wide(total(F.zip_with("v", given, lambda x, y: x * y))).alias("dot"), (wide(total(F.transform("v", lambda x: x * x))) * F.lit(sum(x * x for x in query)).cast("decimal(18,0)")).alias("square"))
+    rows = rows.withColumn("square", wide(F.when(F.col("square") == 0, F.raise_error(F.lit("zero vector")).cast("decimal(38,0)")).otherwise(F.col("square"))))
+    rows = rows.withColumn("root", wide(F.floor(F.sqrt(F.col("square").cast("double")))))
+    rows = rows.withColumn("root", wide(F.expr("root + CASE WHEN root * root > square THEN -1 WHEN (root + 1) * (root + 1) <= square THEN 1 ELSE 0 END")))
+    rows = rows.withColumn("over", wide(F.expr("2 * dot * 1000000000 + root"))).withColumn("under", wide(F.expr("2 * root")))
+    rows = rows.withColumn("score", F.expr("(over - pmod(over, under)) div under"))
+    score = F.greatest(F.lit(-(10**9)), F.least(F.lit(10**9), F.col("score"))).cast("bigint")
+    return rows.select("id", score.alias("score_nanos")).orderBy(F.desc("score_nanos"), "id").limit(limit)
 
 
 @dataclass

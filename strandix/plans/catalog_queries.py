@@ -82,6 +82,16 @@ sql("sql_join_exact", f"{_HEAD} WHERE o_orderkey = 33", f"{_JOIN} WHERE o_orderk
 sql("sql_join_bounded", f"{_HEAD} WHERE o_orderkey > 10 ORDER BY o_orderkey LIMIT 100", f"{_JOIN} WHERE o_orderkey > 10 ORDER BY o_orderkey LIMIT 100")
 sql("sql_join_secondary_left", f"{_HEAD} WHERE o_orderstatus = 'P' AND o_custkey < 900 LIMIT 80", f"{_JOIN} WHERE o_orderstatus = 'P' AND o_custkey < 900 ORDER BY o_orderkey LIMIT 80")
 sql("sql_join_whole", f"{_HEAD} ORDER BY o_orderkey LIMIT 2147483647", f"{_JOIN} ORDER BY o_orderkey LIMIT 2147483647")
+
+
+@query("sql_join_null_keys", 'SELECT o_orderkey AS "wanting.o_orderkey", c_name AS "customer.c_name" FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 <> 0')
+def _(spark, d):
+    """Every third order has no customer; such keys meet nothing, a null customer key neither."""
+    db = database(spark, d)
+    db.register("wanting", table(spark, d, "orders").withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey"))), ["o_orderkey"])
+    return db.execute("SELECT wanting.o_orderkey, customer.c_name FROM wanting INNER JOIN customer ON wanting.o_custkey = customer.c_custkey ORDER BY o_orderkey LIMIT 2147483647")
+
+
 sql("sql_join_unique_right", "SELECT country.n_name, nation.n_nationkey FROM nation INNER JOIN country ON nation.n_name = country.n_name ORDER BY n_regionkey, n_nationkey LIMIT 12",
     'SELECT n_name AS "country.n_name", n_nationkey AS "nation.n_nationkey" FROM nation ORDER BY n_regionkey, n_nationkey LIMIT 12')
 sql("sql_join_composite_right", "SELECT country.n_name, nation.n_regionkey FROM country INNER JOIN nation ON country.n_regionkey = nation.n_regionkey AND country.n_nationkey = nation.n_nationkey ORDER BY n_nationkey LIMIT 20",
@@ -365,10 +375,19 @@ def _(spark, d):
     return spark.createDataFrame([(outcome, len(hits))], "outcome string, n long")
 
 
-@query("vec_q15")
+_Q15 = vx.q15([x / 10 for x in _QUERY])
+
+
+@query("vec_q15", f"""
+WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: greatest(-32767, least(32767, round(x::DOUBLE * 3000)::BIGINT))) AS v, {_Q15}::BIGINT[] AS q FROM embeddings),
+s AS (SELECT id, list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2]))::HUGEINT AS dot, list_sum(list_transform(v, lambda x: x * x))::HUGEINT * list_sum(list_transform(q, lambda x: x * x))::HUGEINT AS square FROM v),
+r AS (SELECT *, floor(sqrt(square::DOUBLE))::HUGEINT AS near FROM s),
+e AS (SELECT id, dot, CASE WHEN near * near > square THEN near - 1 WHEN (near + 1) * (near + 1) <= square THEN near + 1 ELSE near END AS root FROM r),
+n AS (SELECT id, dot * 2000000000 + root AS a, 2 * root AS b FROM e)
+SELECT id, greatest(-1000000000, least(1000000000, (a - ((a % b + b) % b)) // b))::BIGINT AS score_nanos FROM n ORDER BY score_nanos DESC, id LIMIT 15""")
 def _(spark, d):
     e = table(spark, d, "embeddings").withColumn("q15", F.transform("embedding", lambda x: F.greatest(F.lit(-32767), F.least(F.lit(32767), F.round(x.cast("double") * 3000).cast("int")))))
-    return vx.retrieve_q15(e, vx.q15([x / 10 for x in _QUERY]), 15)
+    return vx.retrieve_q15(e, _Q15, 15)
 
 
 @query("vec_ivf_recall")

@@ -307,3 +307,14 @@ def test_canonical_json():
     for bad in ('{"a": 1, "a": 2}', "NaN", "{"):
         with pytest.raises(EngineError, match="SQL006"):
             canonical_json(bad)
+
+
+def test_fixed_point_scores_equal_integers(spark):
+    r = random.Random(1)
+    q = [r.randint(-32767, 32767) for _ in range(16)]
+    made = [v for m in (1, 5, 300, 32767) for _ in range(50) if any(v := [r.randint(-m, m) for _ in range(16)])] + [q, [-x for x in q]]
+    df = spark.createDataFrame([*enumerate(made), (9998, None), (9999, [1])], "vec_id long, q15 array<int>")
+    assert {x["id"]: x["score_nanos"] for x in vx.retrieve_q15(df, q, 1000).collect()} == {i: vx.q15_nanos(v, q) for i, v in enumerate(made)}
+    for bad in ([0] * 16, [40_000] + [0] * 15):
+        with pytest.raises(Exception, match="zero vector|out of range"):
+            vx.retrieve_q15(spark.createDataFrame([(1, bad)], "vec_id long, q15 array<int>"), q, 5).collect()
