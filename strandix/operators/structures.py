@@ -199,6 +199,9 @@ def cardinality(header: DataFrame, state: DataFrame) -> DataFrame:
 
 
 # -- set algebra: members of one set are rows (key, member)
+#
+# A request is refused beyond its ceilings of visits and output. With whole=True there is no request: the operation is one
+# plan over tables of any size, nothing is counted before it, and only the number of keys is limited.
 
 
 def _set_keys(keys: list) -> list:
@@ -207,13 +210,15 @@ def _set_keys(keys: list) -> list:
     return keys
 
 
-def _visited(state: DataFrame, keys: list) -> DataFrame:
-    """The members of the asked sets, or an error if they are more than may be visited."""
-    return bounded(state.filter(F.col("key").isin(_set_keys(keys))).select("key", "member").distinct(), SET_VISITS)
+def _visited(state: DataFrame, keys: list, whole: bool = False) -> DataFrame:
+    """The members of the asked sets, or an error if they are more than a request may visit."""
+    state = state.filter(F.col("key").isin(_set_keys(keys))).select("key", "member").distinct()
+    return state if whole else bounded(state, SET_VISITS)
 
 
-def set_union(state: DataFrame, keys: list) -> DataFrame:
-    return bounded(_visited(state, keys).select("member").distinct()).orderBy("member")
+def set_union(state: DataFrame, keys: list, whole: bool = False) -> DataFrame:
+    got = _visited(state, keys, whole).select("member").distinct()
+    return (got if whole else bounded(got)).orderBy("member")
 
 
 def set_intersection(state: DataFrame, keys: list) -> DataFrame:

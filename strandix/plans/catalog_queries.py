@@ -534,7 +534,7 @@ def _rich(spark, d):
 
 @query("str_set_union", _SETS + " SELECT DISTINCT member FROM s WHERE key IN ('click', 'view')")
 def _(spark, d):
-    return st.set_union(_rich(spark, d), ["click", "view", "click"])
+    return st.set_union(_rich(spark, d), ["click", "view", "click"], whole=True)
 
 
 @query("str_set_intersect", _SETS + " SELECT member FROM s WHERE key = 'click' INTERSECT SELECT member FROM s WHERE key = 'view' INTERSECT SELECT member FROM s WHERE key = 'purchase'")

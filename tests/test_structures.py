@@ -109,3 +109,36 @@ def test_counters_are_read_in_the_order_asked_for(spark):
     assert [tuple(r) for r in st.counters_of(state, ["z", "a", "z"]).collect()] == [(0, "z", 0), (1, "a", 5), (2, "z", 0)]
     with pytest.raises(Exception, match="not an integer"):
         st.counters_of(state, ["b"]).collect()
+
+
+@pytest.fixture(scope="module")
+def many_events(spark, tmp_path_factory):
+    """Events of sets whose union, intersection and difference each have over 65,536 members, and members that are null."""
+    d = str(tmp_path_factory.mktemp("many"))
+    both = "SELECT id AS user_id, type AS event_type FROM range(66000) LATERAL VIEW explode(array('click', 'view', 'purchase')) t AS type"
+    alone = "SELECT id + 100000, 'view' FROM range(66000)"
+    empty = "SELECT CAST(NULL AS BIGINT), explode(array('click', 'view'))"
+    spark.sql(f"SELECT *, TIMESTAMP_NTZ '2024-01-05 00:00:00' AS ts FROM ({both} UNION ALL {alone} UNION ALL {empty})").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+def equals_sql(spark, d, name):
+    import duckdb
+
+    from strandix.plans import catalog_queries
+
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+    want = {x for (x,) in duck.execute(catalog_queries.ORACLES[name]).fetchall()}
+    got = [x for (x,) in catalog_queries.QUERIES[name](spark, d).collect()]
+    assert len(got) == len(want) > st.SET_OUTPUT and set(got) == want
+    assert got == sorted(got, key=lambda x: (x is not None, x))
+
+
+def test_union_of_sets_beyond_the_ceilings_of_a_request(spark, many_events):
+    equals_sql(spark, many_events, "str_set_union")
+    one = spark.range(1_100_000).select(F.lit("a").alias("key"), F.col("id").alias("member"))
+    assert st.set_union(one, ["a"], whole=True).count() == 1_100_000 > st.SET_VISITS
+    for refused in (lambda: st.set_union(one, ["a"]), lambda: st.set_union(one, ["a"] * 65, whole=True)):
+        with pytest.raises(EngineError, match="LIM010"):
+            refused()
