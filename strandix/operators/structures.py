@@ -227,13 +227,13 @@ def set_intersection(state: DataFrame, keys: list) -> DataFrame:
     return bounded(n.filter(F.col("n") == len(asked)).select("member")).orderBy("member")
 
 
-def set_difference(state: DataFrame, keys: list) -> DataFrame:
+def set_difference(state: DataFrame, keys: list, whole: bool = False) -> DataFrame:
     first, *rest = _set_keys(keys)
-    state = _visited(state, keys)
-    df = state.filter(F.col("key") == first).select("member")
-    if rest:
-        df = df.join(state.filter(F.col("key").isin(rest)).select("member"), "member", "left_anti")
-    return bounded(df.distinct()).orderBy("member")
+    here = F.when(F.col("key") == first, 1).otherwise(0)
+    there = F.when(F.col("key").isin(rest), 1).otherwise(0) if rest else F.lit(0)
+    held = _visited(state, keys, whole).groupBy("member").agg(F.max(here).alias("here"), F.max(there).alias("there"))
+    got = held.filter("here = 1 AND there = 0").select("member")
+    return (got if whole else bounded(got)).orderBy("member")
 
 
 def bounded(df: DataFrame, most: int = SET_OUTPUT) -> DataFrame:

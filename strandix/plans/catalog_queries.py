@@ -544,7 +544,7 @@ def _(spark, d):
 
 @query("str_set_difference", _SETS + " SELECT member FROM s WHERE key = 'view' EXCEPT SELECT member FROM s WHERE key IN ('click', 'purchase')")
 def _(spark, d):
-    return st.set_difference(_rich(spark, d), ["view", "click", "purchase"])
+    return st.set_difference(_rich(spark, d), ["view", "click", "purchase"], whole=True)
 
 
 @query("str_set_scan", "SELECT DISTINCT user_id AS member FROM events WHERE event_type = 'view' AND user_id > 30 ORDER BY member LIMIT 25")

@@ -142,3 +142,18 @@ def test_union_of_sets_beyond_the_ceilings_of_a_request(spark, many_events):
     for refused in (lambda: st.set_union(one, ["a"]), lambda: st.set_union(one, ["a"] * 65, whole=True)):
         with pytest.raises(EngineError, match="LIM010"):
             refused()
+
+
+def test_difference_of_sets_beyond_the_ceilings_of_a_request(spark, many_events):
+    equals_sql(spark, many_events, "str_set_difference")
+    two = spark.range(1_100_000).select(F.explode(F.array(F.lit("a"), F.when(F.col("id") % 2 == 0, "b"))).alias("key"), F.col("id").alias("member"))
+    assert st.set_difference(two, ["a", "b"], whole=True).count() == 550_000
+    with pytest.raises(EngineError, match="LIM010"):
+        st.set_difference(two, ["a", "b"])
+
+
+def test_difference_of_repeated_and_missing_keys_and_null_members(spark):
+    state = spark.createDataFrame([("a", 1), ("a", None), ("a", 3), ("b", None), ("b", 1), ("b", 1), (None, 3)], "key string, member int")
+    for whole in (False, True):
+        got = {k: [r["member"] for r in st.set_difference(state, list(k), whole).collect()] for k in ("a", "ab", "ax", "xa", "aa", "aba", "ba")}
+        assert got == {"a": [None, 1, 3], "ab": [3], "ax": [None, 1, 3], "xa": [], "aa": [], "aba": [], "ba": []}
