@@ -221,10 +221,12 @@ def set_union(state: DataFrame, keys: list, whole: bool = False) -> DataFrame:
     return (got if whole else bounded(got)).orderBy("member")
 
 
-def set_intersection(state: DataFrame, keys: list) -> DataFrame:
-    asked, state = list(dict.fromkeys(_set_keys(keys))), _visited(state, keys)
-    n = state.filter(F.col("key").isin(asked)).groupBy("member").agg(F.countDistinct("key").alias("n"))
-    return bounded(n.filter(F.col("n") == len(asked)).select("member")).orderBy("member")
+def set_intersection(state: DataFrame, keys: list, whole: bool = False) -> DataFrame:
+    asked = list(dict.fromkeys(_set_keys(keys)))
+    bit = F.coalesce(*[F.when(F.col("key") == k, F.shiftleft(F.lit(1).cast("bigint"), i)) for i, k in enumerate(asked)])
+    held = _visited(state, asked, whole).groupBy("member").agg(F.bit_or(bit).alias("held"))
+    got = held.filter(F.bit_count("held") == len(asked)).select("member")
+    return (got if whole else bounded(got)).orderBy("member")
 
 
 def set_difference(state: DataFrame, keys: list, whole: bool = False) -> DataFrame:

@@ -539,7 +539,7 @@ def _(spark, d):
 
 @query("str_set_intersect", _SETS + " SELECT member FROM s WHERE key = 'click' INTERSECT SELECT member FROM s WHERE key = 'view' INTERSECT SELECT member FROM s WHERE key = 'purchase'")
 def _(spark, d):
-    return st.set_intersection(_rich(spark, d), ["click", "view", "purchase"])
+    return st.set_intersection(_rich(spark, d), ["click", "view", "purchase"], whole=True)
 
 
 @query("str_set_difference", _SETS + " SELECT member FROM s WHERE key = 'view' EXCEPT SELECT member FROM s WHERE key IN ('click', 'purchase')")

@@ -157,3 +157,18 @@ def test_difference_of_repeated_and_missing_keys_and_null_members(spark):
     for whole in (False, True):
         got = {k: [r["member"] for r in st.set_difference(state, list(k), whole).collect()] for k in ("a", "ab", "ax", "xa", "aa", "aba", "ba")}
         assert got == {"a": [None, 1, 3], "ab": [3], "ax": [None, 1, 3], "xa": [], "aa": [], "aba": [], "ba": []}
+
+
+def test_intersection_of_sets_beyond_the_ceilings_of_a_request(spark, many_events):
+    equals_sql(spark, many_events, "str_set_intersect")
+    two = spark.range(1_100_000).select(F.explode(F.array(F.lit("a"), F.when(F.col("id") % 2 == 0, "b"))).alias("key"), F.col("id").alias("member"))
+    assert st.set_intersection(two, ["a", "b", "a"], whole=True).count() == 550_000
+    with pytest.raises(EngineError, match="LIM010"):
+        st.set_intersection(two, ["a", "b"])
+
+
+def test_intersection_of_as_many_keys_as_there_may_be(spark):
+    state = spark.createDataFrame([(f"k{i}", m) for i in range(64) for m in (7, None, 100 + i % 63) for _ in range(2)], "key string, member int")
+    for whole in (False, True):
+        got = [[r["member"] for r in st.set_intersection(state, keys, whole).collect()] for keys in ([f"k{i}" for i in range(64)], ["k0", "k63", "k0"], ["k0", "absent"], ["k5"])]
+        assert got == [[None, 7], [None, 7, 100], [], [None, 7, 105]]
